@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import pii
+from palimpsest.llm import common, packing, pii, tokens
 from palimpsest.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{common.shared_root(spark)}/codes-{uuid.uuid4().hex}"
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return tokens.read_codes(tokens.write_codes(table(spark, sf_dir, "documents"), path, vocabulary, end_id=1))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary, end_id=0, capacity=2048)
+
+
 def queries() -> dict[str, Query]:
-    return {"op7_pii": op7_pii}
+    return {"op6_token_codes": op6_token_codes, "op7_pii": op7_pii, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
