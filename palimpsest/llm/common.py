@@ -86,12 +86,15 @@ def parts(spark: SparkSession, floor: int = 1) -> int:
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def worker_state(key: str, make):
-    """Per-process object that outlives one task; Python workers are reused."""
+def worker_state(kind: str, key: str, make):
+    """Per-process object that outlives one task; Python workers are reused.
+
+    One object per kind is held: another key replaces it.
+    """
     store = sys.modules[__name__].__dict__.setdefault("_STATE", {})
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    if kind not in store or store[kind][0] != key:
+        store[kind] = (key, make())
+    return store[kind][1]
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -21,6 +21,7 @@ lang, source and doc_id among them, are never inputs of a prediction.
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +67,7 @@ class Pieces:
         rest = np.arange(len(pieces))
         salt = 1
         while len(rest):  # keys that meet another one go to the next table
-            mul = _MUL * np.uint64(2 * salt + 1)
+            mul = np.uint64(int(_MUL) * (2 * salt + 1) & (2**64 - 1))
             slot = (keys[rest] * mul) >> np.uint64(64 - self.BITS)
             _, first = np.unique(slot, return_index=True)
             table_key = np.zeros(1 << self.BITS, np.uint64)
@@ -277,11 +278,11 @@ def predict(docs: DataFrame, model_path: str, per_lang: int = SAMPLE_DOCS) -> Da
     samples = sample(docs, per_lang)
     model = fit(samples, model_path) if samples else None
     shared = spark.sparkContext.broadcast(model)  # vocabulary x languages, whatever the corpus size
-    key = f"langid:{shared.id}"
+    key = uuid.uuid4().hex
 
     def run(batches):
         own = shared.value
-        scorer = common.worker_state(key, lambda: Scorer(own)) if own is not None else None
+        scorer = common.worker_state("langid", key, lambda: Scorer(own)) if own is not None else None
         for ids, held, text in common.rows_of(batches, ("doc_id", "held_out", "text"), "text"):
             texts = text.to_pylist()
             langs, scores = scorer(texts) if scorer else (["und"] * len(texts), [0.0] * len(texts))

@@ -8,12 +8,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import common, packing, pii, tokens
+from palimpsest.llm import common, langid, packing, pii, simhash, tokens, toxicity
 from palimpsest.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_root(spark)}/codes-{uuid.uuid4().hex}"
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
@@ -24,13 +32,18 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary, end_id=0, capacity=2048)
 
 
 def queries() -> dict[str, Query]:
-    return {"op6_token_codes": op6_token_codes, "op7_pii": op7_pii, "op10_packing": op10_packing}
+    own = (op2_toxicity, op5_langid, op6_token_codes, op7_pii, op9_simhash, op10_packing)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -129,7 +129,7 @@ class CachedTokenizer:
 
 def tokenizer(path: str) -> CachedTokenizer:
     """The worker's tokenizer for a file; it lives as long as the worker."""
-    return common.worker_state(f"tokenizer:{path}", lambda: CachedTokenizer(path))
+    return common.worker_state("tokenizer", path, lambda: CachedTokenizer(path))
 
 
 def encoded(batches: Iterable[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
