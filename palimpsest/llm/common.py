@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 import tempfile
@@ -71,6 +72,12 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps now, not at some later collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def utf8(col: str | Column) -> Column:
     """Text as a string, null as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")

@@ -9,12 +9,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import ann, common, decontam, langid, packing, pii, simhash, tokens, toxicity
+from palimpsest.llm import ann, common, decontam, langid, linededup, packing, pii, simhash, tokens, toxicity
 from palimpsest.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.decisions(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = (
-        op2_toxicity, op3_decontamination, op5_langid, op6_token_codes, op7_pii, op8_neighbours, op9_simhash, op10_packing,
+        op1_line_dedup, op2_toxicity, op3_decontamination, op5_langid, op6_token_codes, op7_pii, op8_neighbours, op9_simhash, op10_packing,
     )
     return {f.__name__: f for f in own}
 
