@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import ann, common, decontam, langid, linededup, packing, pii, simhash, tokens, toxicity
+from palimpsest.llm import ann, common, decontam, langid, linededup, packing, pii, simhash, suffixdedup, tokens, toxicity
 from palimpsest.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup(table(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -57,7 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = (
-        op1_line_dedup, op2_toxicity, op3_decontamination, op5_langid, op6_token_codes, op7_pii, op8_neighbours, op9_simhash, op10_packing,
+        op1_line_dedup, op2_toxicity, op3_decontamination, op4_suffix_dedup, op5_langid, op6_token_codes, op7_pii, op8_neighbours, op9_simhash, op10_packing,
     )
     return {f.__name__: f for f in own}
 
