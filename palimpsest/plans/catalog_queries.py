@@ -346,7 +346,7 @@ def _match(name: str, style: str, pattern: str, regex: str) -> None:
         return _paths(spark, d).where(patterns.matches(F.col("path"), style, pattern))
 
 
-_match("match_sh", "sh", "src[0-4]/{en,de}/*7", r"(?s)\A(?:src[0-4]/(en|de)/[^/]*7)/([^/]*/)*[^/]*")
+_match("match_sh", "sh", "src[0-9]/{en,de}/*[37]", r"(?s)\A(?:src[0-9]/(en|de)/[^/]*[37])/([^/]*/)*[^/]*")
 _match("match_sh_deep", "sh", "**/*.t?t", r"(?s)\A([^/]*/)*[^/]*\.t[^/]t/([^/]*/)*[^/]*")
 _match("match_fm", "fm", "*/[!e]?/*1[0-4]*", r"(?s)\A.*/[^e]./.*1[0-4].*/.*\z")
 _match("match_re", "re", r"/(fr|es)/[0-9]*[13579]$", r"/(fr|es)/[0-9]*[13579]$")
