@@ -25,7 +25,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from palimpsest.plans import catalog_queries, function_queries  # noqa: F401
+    from palimpsest.plans import catalog_queries, function_queries, ingest_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
