@@ -88,14 +88,13 @@ def parse_size(spark, d):
 
 @register(
     "human_bytes",
-    """with b as (select o_orderkey, (o_totalprice * (1 + o_orderkey % 5 * o_orderkey))::bigint as n from orders),
+    """with b as (select o_orderkey, (o_orderkey * 7919 * (1 + o_orderkey % 5 * 1000))::bigint as n from orders),
     s as (select *, case when round(n / 1.0, 2) < 1000 then 0 when round(n / 1e3, 2) < 1000 then 1 when round(n / 1e3 / 1e3, 2) < 1000 then 2 else 3 end as k from b)
     select o_orderkey, case k when 0 then n || ' B' when 1 then printf('%.2f kB', n / 1e3) when 2 then printf('%.2f MB', n / 1e3 / 1e3) else printf('%.2f GB', n / 1e3 / 1e3 / 1e3) end as size from s""",
 )
 def human_bytes(spark, d):
-    n = (F.col("o_totalprice") * (1 + F.col("o_orderkey") % 5 * F.col("o_orderkey")))
-    # DuckDB rounds a double half away from zero when it becomes an integer.
-    return table(spark, d, "orders").select("o_orderkey", scalars.human_bytes(F.round(n).cast("bigint")).alias("size"))
+    n = F.col("o_orderkey") * 7919 * (F.col("o_orderkey") % 5 * 1000 + 1)
+    return table(spark, d, "orders").select("o_orderkey", scalars.human_bytes(n).alias("size"))
 
 
 @register("padme_padding", "select doc_id, n_chars as size, (case when n_chars < 2 then 0 else ((n_chars + m) & ~m) - n_chars end)::bigint as padding from (select *, (1::bigint << (e - s)::int) - 1 as m from (select *, floor(log2(e))::int + 1 as s from (select doc_id, n_chars, floor(log2(n_chars))::int as e from documents where n_chars >= 4)))")
