@@ -247,24 +247,43 @@ def _verify(similarity: float):
     return run
 
 
+def close_pairs(lines: list[str], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j, of at least the similarity: all exact intersections of a few lines at once.
+
+    Shingles of one line only add to sizes; the others are columns of a matrix
+    of zeros and ones, whose product with itself counts what two lines share.
+    """
+    sets = [shingles(x) for x in lines]
+    seen: dict[str, int] = {}
+    for own in sets:
+        for x in own:
+            seen[x] = seen.get(x, 0) + 1
+    column = {x: k for k, x in enumerate([x for x, n in seen.items() if n > 1])}
+    both = np.zeros((len(lines), len(lines)), np.float32)
+    held = [np.array([k for x in own if (k := column.get(x)) is not None], dtype=np.int64) for own in sets]
+    for at in range(0, len(column), 4096):
+        matrix = np.zeros((len(lines), 4096), np.float32)
+        for i, own in enumerate(held):
+            matrix[i, own[(own >= at) & (own < at + 4096)] - at] = 1
+        both += matrix @ matrix.T
+    sizes = np.array([len(x) for x in sets], dtype=np.float64)
+    union = sizes[:, None] + sizes[None, :] - both
+    return np.nonzero(np.triu(both / union >= similarity, 1))
+
+
 def _unit_links(similarity: float):
     """Links between members of different components, per unit; rows come sorted by unit."""
 
     def links(rows) -> Iterator[tuple[int, int]]:
         own = {i: (root, line) for i, root, line in rows}
-        members = sorted(own, key=lambda i: len(own[i][1]))
+        members = list(own)
         roots = {r: k for k, r in enumerate(dict.fromkeys(own[i][0] for i in members))}
-        sets = {i: shingles(own[i][1]) for i in members}
+        if len(roots) < 2:
+            return
         uf = UnionFind(len(roots))
-        for x, i in enumerate(members):
-            for j in members[x + 1 :]:
-                ri, rj = roots[own[i][0]], roots[own[j][0]]
-                if uf.find(ri) == uf.find(rj):
-                    continue
-                low, high = sorted((len(sets[i]), len(sets[j])))
-                if low >= similarity * high and jaccard(sets[i], sets[j]) >= similarity:
-                    uf.union(ri, rj)
-                    yield i, j
+        for x, y in zip(*(v.tolist() for v in close_pairs([own[i][1] for i in members], similarity)), strict=True):
+            if uf.union(roots[own[members[x]][0]], roots[own[members[y]][0]]):
+                yield members[x], members[y]
 
     def run(batches):
         unit, held = None, []
@@ -289,9 +308,11 @@ def _unit_links(similarity: float):
 def components(lines: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
     """node, root for every line id that is near another one."""
     spark = lines.sparkSession
-    text = lines.select("id", "line")
     stars = candidate_stars(lines)
     pairs = stars.select("a", "b").distinct()
+    # Texts of candidates only: the one time that lines are dealt by id.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    text = common.save(lines.select("id", "line").join(wanted, "id", "left_semi"), "texts")
     with_b = pairs.join(text.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
     both = with_b.join(text.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
     linked = common.save(both.select("a", "b", "line_a", "line_b").mapInArrow(_verify(similarity), "a bigint, b bigint"), "linked")

@@ -103,6 +103,14 @@ def test_minhash_is_the_plain_minimum():
     assert (sig[0] == sig[2]).all() and sig[0, 5] == (h[: len(codes)] * linededup._A[5] + linededup._B[5]).min()
 
 
+def test_close_pairs():
+    rnd = random.Random(1)
+    lines = ["".join(rnd.choice("ab ") for _ in range(rnd.randint(1, 60))) for _ in range(80)]
+    lines += [x[: len(x) // 2] + "zz" + x[len(x) // 2 :] for x in lines]
+    want = {(i, j) for j in range(len(lines)) for i in range(j) if linededup.jaccard(linededup.shingles(lines[i]), linededup.shingles(lines[j])) >= 0.5}
+    assert want and set(zip(*(v.tolist() for v in linededup.close_pairs(lines, 0.5)), strict=True)) == want
+
+
 def brute_spans(rows, length=suffixdedup.LENGTH):
     data = [(i, (t or "").encode()) for i, t, *_ in rows if i is not None]
     first = {}
