@@ -116,7 +116,7 @@ class Templates:
             h = h * mul + self.hash[j : j + n]
         h ^= h >> np.uint64(29)
         plain = np.concatenate([[0], np.cumsum(self.kind == PLAIN)])
-        good = (self.doc[size - 1 :] == self.doc[:n]) & (plain[size:] - plain[:n] >= min(LITERALS, size))
+        good = (self.doc[size - 1 :] == self.doc[:n]) & (plain[size:] - plain[:n] >= LITERALS)
         at = np.flatnonzero(good)
         return at, h[at]
 

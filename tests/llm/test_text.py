@@ -235,14 +235,18 @@ def test_toxicity(spark, nothing):
     assert {r["predicted"] for r in toxicity.score(docs, none).collect()} == {0}
 
 
-def test_toxicity_gradients():
-    """One step of training lowers the loss on a batch that it fits."""
-    ids, model = toxicity.WordIds(), toxicity.Model()
+def test_toxicity_training_lowers_the_loss(monkeypatch):
     texts, y = ["good day sir", "you bad thing"] * 20, np.array([0, 1] * 20, dtype=np.float32)
-    a, b, starts = toxicity.rows_of_texts(texts, ids)
-    toxicity._train(model, texts, y, ids)
-    p = 1 / (1 + np.exp(-model.logits(a, b, starts)))
-    assert (p[y == 1] > 0.8).all() and (p[y == 0] < 0.2).all()
+
+    def loss(epochs):
+        monkeypatch.setattr(toxicity, "EPOCHS", epochs)
+        ids, model = toxicity.WordIds(), toxicity.Model()
+        toxicity._train(model, texts, y, ids)
+        p = 1 / (1 + np.exp(-model.logits(*toxicity.rows_of_texts(texts, ids))))
+        return -np.log(np.where(y == 1, p, 1 - p)).mean()
+
+    losses = [loss(n) for n in (0, 1, 4, 40)]
+    assert losses == sorted(losses, reverse=True) and len(set(losses)) == 4
 
 
 ITEMS = [
