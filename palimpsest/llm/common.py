@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import sys
 import tempfile
@@ -55,11 +54,25 @@ def shared_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/palimpsest-{sc.applicationId}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Write a Parquet table; the shuffle files it took are deleted as soon as it is there."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    write(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -72,12 +85,6 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished steps now, not at some later collection."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def utf8(col: str | Column) -> Column:
     """Text as a string, null as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")

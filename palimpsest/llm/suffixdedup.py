@@ -260,6 +260,23 @@ def window_minima(contexts: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, n
     return rows[order], offsets[order], least[order]
 
 
+def window_minima_by_gram(contexts: np.ndarray, docs: np.ndarray, most: int = 40_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """window_minima over whole k-gram groups, about ``most`` contexts at a time."""
+    head = np.ascontiguousarray(contexts[:, SPAN - 1 : SPAN + 7]).view(np.uint64).ravel()
+    order = np.argsort(head, kind="stable")
+    edges = np.flatnonzero(np.diff(head[order])) + 1
+    out, at = [], 0
+    while at < len(order):
+        i = int(np.searchsorted(edges, at + most))
+        to = int(edges[i]) if i < len(edges) else len(order)
+        row, offset, least = window_minima(contexts[order[at:to]], docs[order[at:to]])
+        out.append((order[at:to][row], offset, least))
+        at = to
+    row, offset, least = (np.concatenate(x) for x in zip(*out, strict=True))
+    by_row = np.lexsort((offset, row))
+    return row[by_row], offset[by_row], least[by_row]
+
+
 # Rows between units
 
 
@@ -460,7 +477,7 @@ def _answer_contexts(batches):
         docs = np.concatenate([a[2] for a in asked])
         several = np.concatenate([a[3] for a in asked])
         contexts = np.concatenate([a[4] for a in asked]).reshape(-1, WIDTH)
-        row, offset, least = window_minima(contexts, docs)
+        row, offset, least = window_minima_by_gram(contexts, docs)
         use = several[row] | (least < docs[row])
         row, offset, least = row[use], offset[use], least[use]
         head = np.ones(len(row), dtype=bool)
@@ -532,11 +549,9 @@ def dedup(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     deal = lambda df: df.repartitionById(n, F.col("unit")).sortWithinPartitions("unit", "kind")
     asked = _answered(packed, None, n).mapInArrow(_ask_grams(n), _ROWS)
     shared = common.save(deal(asked).mapInArrow(_answer_grams, _ROWS), "shared")
-    common.release(spark)
     asked = _answered(packed, shared, n).mapInArrow(_ask_contexts(n), _ROWS)
     least = common.save(deal(asked).mapInArrow(_answer_contexts, _ROWS), "least")
     common.discard(shared)
-    common.release(spark)
     done = _answered(packed, least, n).mapInArrow(_finish(keep_bytes), _RESULT)
     whole = docs.where("doc_id is null").select(F.lit(None).cast("bigint").alias("doc_id"), common.utf8("text").cast("binary").alias("b"))
     alone = whole.select(

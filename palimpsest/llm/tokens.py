@@ -273,7 +273,7 @@ def write_codes(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, sh
         .repartitionByRange(common.parts(spark), "doc_id", h)
         .sortWithinPartitions("doc_id", h)
     )
-    dealt.mapInArrow(write, SHARDS).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    common.write(dealt.mapInArrow(write, SHARDS), path)
     return spark.read.schema(SHARDS).parquet(path)
 
 

@@ -171,6 +171,24 @@ def test_suffix_dedup_of_texts_over_a_step(monkeypatch):
     assert starts == set(range(len(data) - suffixdedup.LENGTH + 1))
 
 
+def test_window_minima_in_parts(spark):
+    rng = np.random.default_rng(1)
+    contexts = rng.integers(0, 2, (400, suffixdedup.WIDTH)).astype(np.uint8)
+    contexts[:, 34:50] = contexts[rng.integers(0, 20, 400), 34:50]
+    contexts[200:] = contexts[rng.integers(0, 200, 200)]
+    for i in range(400):
+        contexts[i, : rng.integers(0, 20)] = suffixdedup.PAD
+    docs = rng.integers(0, 50, 400)
+    whole = suffixdedup.window_minima(contexts, docs)
+    parts = suffixdedup.window_minima_by_gram(contexts, docs, 30)
+    assert all((x == y).all() for x, y in zip(whole, parts, strict=True))
+    windows = {}
+    for i, o, _ in zip(*whole, strict=True):
+        w = (o, contexts[i, o : o + 50].tobytes(), contexts[i, 34:50].tobytes())
+        windows[w] = min(windows.get(w, 99), docs[i])
+    assert all(windows[o, contexts[i, o : o + 50].tobytes(), contexts[i, 34:50].tobytes()] == d for i, o, d in zip(*whole, strict=True))
+
+
 def test_deep_shallow_order():
     rng = np.random.default_rng(3)
     rows = rng.integers(0, 2, (3000, 50)).astype(np.uint8)
