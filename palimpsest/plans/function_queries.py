@@ -171,3 +171,34 @@ def json_lines(spark, d):
 def xattr_entries(spark, d):
     xattrs = F.create_map(F.col("c_name"), F.lit(b"1"), F.col("c_mktsegment"), F.lit(None).cast("binary"))
     return table(spark, d, "customer").select("c_custkey", F.transform(scalars.sorted_xattrs(xattrs), lambda e: e["key"]).alias("keys"))
+
+
+@register(
+    "url_locations",
+    """select page_id, nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1), '') as proto,
+    nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^@/]*@)?([^:/?#]+)', 2), '') as host,
+    nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '') as path from pages""",
+)
+def url_locations(spark, d):
+    from palimpsest.sources import location
+
+    found = location.parts(F.col("url"))
+    return table(spark, d, "pages").select("page_id", found["proto"].alias("proto"), found["host"].alias("host"), found["path"].alias("path"))
+
+
+@register(
+    "ingest_stats",
+    """with c as (select l_partkey as chunk_id, l_quantity::bigint as size from lineitem where l_shipdate >= timestamp '2000-01-01'),
+    k as (select distinct l_partkey as chunk_id from lineitem where l_shipdate < timestamp '1996-01-01'),
+    p as (select chunk_id, count(*) as n, max(size) as size from c group by 1)
+    select (select count(*) from orders) as nfiles, (select sum(o_custkey)::bigint from orders) as original_size, sum(n)::bigint as chunks,
+      count(*) filter (chunk_id not in (select chunk_id from k)) as new_chunks, coalesce(sum(size) filter (chunk_id not in (select chunk_id from k)), 0)::bigint as new_size from p""",
+)
+def ingest_stats(spark, d):
+    from palimpsest.operators import stats
+
+    lines = table(spark, d, "lineitem").select("l_shipdate", F.col("l_partkey").alias("chunk_id"), F.col("l_quantity").cast("bigint").alias("size"))
+    new = lines.where(F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp"))
+    known = lines.where(F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp")).select("chunk_id").distinct()
+    items = table(spark, d, "orders").select(F.col("o_custkey").alias("size"))
+    return stats.ingest_stats(items, new, known)
