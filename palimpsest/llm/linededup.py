@@ -261,10 +261,11 @@ def close_pairs(lines: list[str], similarity: float) -> tuple[np.ndarray, np.nda
     column = {x: k for k, x in enumerate([x for x, n in seen.items() if n > 1])}
     both = np.zeros((len(lines), len(lines)), np.float32)
     held = [np.array([k for x in own if (k := column.get(x)) is not None], dtype=np.int64) for own in sets]
+    wide = min(len(column), 4096)
     for at in range(0, len(column), 4096):
-        matrix = np.zeros((len(lines), 4096), np.float32)
+        matrix = np.zeros((len(lines), wide), np.float32)
         for i, own in enumerate(held):
-            matrix[i, own[(own >= at) & (own < at + 4096)] - at] = 1
+            matrix[i, (own if wide == len(column) else own[(own >= at) & (own < at + wide)]) - at] = 1
         both += matrix @ matrix.T
     sizes = np.array([len(x) for x in sets], dtype=np.float64)
     union = sizes[:, None] + sizes[None, :] - both
@@ -323,10 +324,16 @@ def components(lines: DataFrame, similarity: float = SIMILARITY, group: int = GR
         .join(found.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
         .select("key", "a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
     )
-    split = common.save(
-        named.groupBy("key").agg(F.count("*").alias("n"), F.max((F.col("ra") != F.col("rb")).cast("int")).alias("open")).where("open = 1 and n > 1").select("key", "n"),
-        "split",
+    # Bands repeat groups; one key stands for all groups of the same members. Apart
+    # from the smallest, a member is a group's ``b`` just once.
+    groups = named.groupBy("key").agg(
+        F.count("*").alias("n"),
+        F.max((F.col("ra") != F.col("rb")).cast("int")).alias("open"),
+        F.min("a").alias("least"),
+        F.bit_xor(F.xxhash64("b")).alias("x"),
+        F.bit_xor(F.xxhash64("b", F.lit(1))).alias("y"),
     )
+    split = common.save(groups.where("open = 1 and n > 1").groupBy("n", "least", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "split")
     rows = named.join(split, "key")
     members = rows.select("key", "n", F.col("a").alias("id"), F.col("ra").alias("root")).unionByName(rows.select("key", "n", F.col("b").alias("id"), F.col("rb").alias("root"))).distinct()
     g = F.ceil((F.col("n") + 1) / F.lit(group)).cast("int")
