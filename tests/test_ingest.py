@@ -204,3 +204,34 @@ def test_templates(spark):
     with pytest.raises(ValueError):
         template.rendered(df, "{n:.2}")
     assert template.placeholders("{host}-{now:%Y}{{x}}", {"host": "h", "now": datetime(2024, 1, 1)}) == "h-2024{x}"
+
+
+def test_streams(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from palimpsest.streaming.ingest import deduplicated_stream, stream_chunks
+
+    rows = [(i, bytearray(blob(300, i % 3)), datetime(2024, 1, 1, 0, i % 5)) for i in range(12)]
+    schema = "id bigint, data binary, ts timestamp"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    files = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    for _ in range(2):
+        stream_chunks(files, out, str(tmp_path / "check"), "id", "data", "fixed,100").awaitTermination()
+        spark.createDataFrame([(99, bytearray(blob(300, 1) + blob(100, 9)), datetime(2024, 1, 2))], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    got = [r["chunk_id"] for r in spark.read.parquet(out).collect()]
+    want = {hashlib.sha256(blob(300, k)[a : a + 100]).hexdigest() for k in range(3) for a in (0, 100, 200)} | {hashlib.sha256(blob(100, 9)).hexdigest()}
+    assert len(got) == len(want) and set(got) == want
+    ids = files.select(F.sha2("data", 256).alias("chunk_id"), "ts")
+    query = deduplicated_stream(ids, "ts").writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("once").count() == spark.table("once").select("chunk_id").distinct().count() == 4
+
+
+def test_recompress_report(spark, tmp_path):
+    repo = Repository(spark, str(tmp_path / "r")).create_repository()
+    files = spark.createDataFrame([("a", bytearray(b"abc" * 400)), ("b", bytearray(blob(900, 1)))], "path string, content binary")
+    repo.create("n", files, "fixed,5000", "none")
+    assert {(r["outcome"], r["objects"]) for r in repo.recompress("zlib,9").collect()} == {("recompressed", 1), ("no gain", 1)}
+    assert {r["outcome"] for r in repo.recompress("none").collect()} == {"already"}
+    assert repo.compact_plan().first()["action"] == "keep"
