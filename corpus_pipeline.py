@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
     labels = common.table(spark, sf_dir, "labels")
     whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "lang")
-    scored = toxicity.score(whole, labels, keep=("row",))
+    scored = toxicity.score(whole, labels, keep=("row",), row="row")
     return scored.where("predicted = 0").select("row.*")
 
 

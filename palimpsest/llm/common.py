@@ -20,9 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 4000
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per application."""
     sc = spark.sparkContext
+    # Batches of whole documents: the default of 10,000 rows is tens of megabytes, held several times.
+    if int(spark.conf.get(_BATCH_ROWS)) > BATCH_ROWS:
+        spark.conf.set(_BATCH_ROWS, str(BATCH_ROWS))
     if getattr(sc, "_palimpsest_shipped", False):
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -103,12 +110,14 @@ def parts(spark: SparkSession, floor: int = 1) -> int:
 def worker_state(kind: str, key: str, make):
     """Per-process object that outlives one task; Python workers are reused.
 
-    One object per kind is held: another key replaces it.
+    One object is held: another kind or key replaces it, so that the steps of a
+    pipeline do not add up their caches in a worker.
     """
     store = sys.modules[__name__].__dict__.setdefault("_STATE", {})
-    if kind not in store or store[kind][0] != key:
-        store[kind] = (key, make())
-    return store[kind][1]
+    if (kind, key) not in store:
+        store.clear()
+        store[kind, key] = make()
+    return store[kind, key]
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -127,6 +136,12 @@ def text_slices(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets
 
 
+def with_field(batches: Iterable[pa.RecordBatch], struct: str, field: str, name: str) -> Iterable[pa.RecordBatch]:
+    """Batches with a field of a struct column beside it, without a copy."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, column(batch, struct).field(field)], names=[*batch.schema.names, name])
+
+
 def rows_of(batches: Iterable[pa.RecordBatch], names: Sequence[str], text: str, most_bytes: int = 8 << 20):
     """Re-cut Arrow batches so that one holds about ``most_bytes`` of ``text``."""
     for batch in batches:

@@ -35,7 +35,7 @@ LITERALS = 4
 RUN = 6
 #: Benchmark windows up to this number are sent to the tasks as a filter (8 bytes each); beyond it all windows are shuffled.
 MOST_SENT = 2_000_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 # Unit words (fixed values).
 UNITS = frozenset(

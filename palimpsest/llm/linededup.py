@@ -376,19 +376,21 @@ def decisions(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def apply(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The given rows, ``text`` cut down to the lines that stay; blank lines stay."""
     keep = kept_lines(docs, similarity).withColumnRenamed("doc_id", "kept_id")
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("own_id"), common.utf8("text").alias("text"))
-    joined = whole.join(keep, F.col("own_id") == F.col("kept_id"), "left").select("row", "own_id", "text", "keep")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("own_id"))
+    joined = whole.join(keep, F.col("own_id") == F.col("kept_id"), "left").select("row", "own_id", "keep")
 
     def cut(batches):
-        for rows, ids, text, kept in common.rows_of(batches, ("row", "own_id", "text", "keep"), "text"):
+        given = common.with_field(batches, "row", "text", "text")
+        for rows, ids, text, kept in common.rows_of(given, ("row", "own_id", "text", "keep"), "text"):
             out = []
             for i, t, stay in zip(ids.to_pylist(), text.to_pylist(), kept.to_pylist(), strict=True):
+                t = t or ""
                 if i is not None:
                     some = set(stay or ())
                     t = "\n".join([x for n, x in enumerate(t.split("\n")) if n in some or not normal(x)])
                 out.append(t)
             yield pa.RecordBatch.from_arrays([rows, pa.array(out, pa.string())], names=["row", "text"])
 
-    schema = joined.select("row", "text").schema
+    schema = joined.select("row", common.utf8("row.text").alias("text")).schema
     done = joined.mapInArrow(cut, schema)
     return done.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -67,4 +67,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_pii": pii.ORACLE_SQL}
+    return {"op4_suffix_dedup": suffixdedup.ORACLE_SQL, "op7_pii": pii.ORACLE_SQL}

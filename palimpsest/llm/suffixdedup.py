@@ -563,3 +563,20 @@ def dedup(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
         (F.col("b") if keep_bytes else F.lit(None).cast("binary")).alias("kept"),
     )
     return done.unionByName(alone)
+
+
+# Every string of every document with the smallest document it starts in, then
+# gaps and islands over bytes.
+ORACLE_SQL = f"""
+with d as (select row_number() over () as rid, doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, ''))::bigint as n from documents),
+w as (select rid, doc_id, s, substr(h, (2 * s + 1)::int, {2 * LENGTH}) as x from (select rid, doc_id, h, unnest(range(0, greatest(n - {LENGTH - 1}, 0))) as s from d where doc_id is not null)),
+f as (select x, min(doc_id) as first from w group by x),
+r as (select rid, s from w join f using (x) where doc_id > first),
+b as (select rid, i, substr(h, (2 * i + 1)::int, 2) as byte from (select rid, h, unnest(range(0, n)) as i from d where rid in (select rid from r))),
+c as (select b.rid, b.i, byte, max(r.s) over (partition by b.rid order by b.i) as last from b left join r on r.rid = b.rid and r.s = b.i),
+g as (select rid, i, byte, coalesce(i - last < {LENGTH}, false) as gone from c),
+e as (select *, lag(gone) over (partition by rid order by i) as before from g),
+t as (select rid, count(*) filter (gone) as n_removed, count(*) filter (gone and before is distinct from true) as n_spans,
+  string_agg(byte, '' order by i) filter (not gone) as kept from e group by rid)
+select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(case when t.rid is null then h else coalesce(kept, '') end)) as kept_sha256 from d left join t using (rid)"""

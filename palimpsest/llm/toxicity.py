@@ -42,7 +42,7 @@ EPOCHS = 4
 BATCH = 64
 RATE = 0.01
 SHRINK = 8.0
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -289,8 +289,11 @@ def sample(docs: DataFrame, labels: DataFrame, bound: dict[int, int] | None = No
     return list(seen.values())
 
 
-def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, held_out, score and predicted, per row of docs."""
+def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), row: str | None = None) -> DataFrame:
+    """The kept columns, held_out, score and predicted, per row of docs.
+
+    row: a kept struct column whose field ``text`` is the text, so that it travels once.
+    """
     spark = docs.sparkSession
     common.ship(spark)
     fitted = sample(docs, labels)
@@ -299,15 +302,18 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
     shared = spark.sparkContext.broadcast(model)  # the table's size, whatever the corpus size
     key = uuid.uuid4().hex
 
-    given = docs.select(*keep, (common.crc_bucket("doc_id", 5) == 0).alias("held_out"), common.utf8("text").alias("scored_text"))
+    texts = () if row else (common.utf8("text").alias("scored_text"),)
+    given = docs.select(*keep, (common.crc_bucket("doc_id", 5) == 0).alias("held_out"), *texts)
     schema = given.drop("scored_text").schema.add("score", "double").add("predicted", "integer")
     names = [f.name for f in schema.fields[:-2]]
 
     def run(batches):
         own = shared.value
         ids = common.worker_state("toxicity", key, WordIds)
-        for *cols, text in common.rows_of(batches, (*names, "scored_text"), "scored_text", 4 << 20):
-            texts = text.to_pylist()
+        if row:
+            batches = common.with_field(batches, row, "text", "scored_text")
+        for *cols, text in common.rows_of(batches, (*names, "scored_text"), "scored_text", 2 << 20):
+            texts = [t or "" for t in text.to_pylist()]
             p = own.scores(texts, ids) if own is not None else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*cols, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
