@@ -58,8 +58,8 @@ def _forest(batches):
 def connected(edges: DataFrame, a: str = "a", b: str = "b", most: int = EDGES) -> DataFrame:
     """(node, root) for every node of an undirected edge; root is the smallest node it reaches.
 
-    Edges with a null end and loops are ignored;
-    repeated edges count once; no edges give an empty table.
+    Edges with a null end and loops are ignored; repeated edges count once; no
+    edges give an empty table.
     """
     now = common.save(
         edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("hi") > F.col("lo"))).distinct(),
