@@ -9,11 +9,14 @@ filled consistently: one slot value of the item always by one value of the
 document. Inconsistent occurrences count only windows whose slots are equal.
 
 A document is contaminated by an item if an occurrence matches half of the
-item's windows, or ``RUN`` of them. Windows with fewer than ``LITERALS`` plain
-words are not used; an item shorter than the window is one window.
-
-Defined results: null and empty texts match nothing; an item without a usable
-window matches nothing; rows that share a doc_id share the verdict; rows with a
+item's windows, or ``RUN`` of them. Placeholders vary only in windows of
+``LITERALS`` plain words, which are counted on their own; all windows together
+count with those poor in plain words, which match by equal tokens only. An item
+shorter than the window is one window. An item of one token matches only where
+it is a whole sentence or line, as a single word of running text is no copy.
+
+Defined results: null and empty texts match nothing; an item without a token
+matches nothing; rows that share a doc_id share the verdict; rows with a
 null doc_id or item_id are kept (documents) or ignored (items); empty tables
 give no rows or no matches; other columns are ignored.
 """
@@ -47,6 +50,8 @@ UNITS = frozenset(
 
 _TOKEN = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+|[.!?\n]")
 PLAIN, NUMBER, UNIT, CAPITAL, END = range(5)
+#: How a window matches: by template, or by equal tokens.
+TEMPLATE, EXACT = range(2)
 _KIND_HASH = np.array([0] + [xxhash.xxh64_intdigest(f"<{k}>") for k in ("number", "unit", "name")], dtype=np.uint64)
 _MUL = 0x9E3779B97F4A7C15
 
@@ -99,42 +104,58 @@ class Templates:
         first[1:] = (kind[:-1] == END) | (doc[1:] != doc[:-1])
         number_before = np.zeros(len(flat), dtype=bool)
         number_before[1:] = (kind[:-1] == NUMBER) & (doc[1:] == doc[:-1])
+        last = np.append(first[1:] | (kind[1:] == END), True)
+        sure = kind == PLAIN
         kind = np.where((kind == CAPITAL) & first | (kind == UNIT) & ~number_before, PLAIN, kind)
         real = np.flatnonzero(kind != END)
         self.kind, self.doc, self.flat, self.real = kind[real], doc[real], flat, real
-        self.hash = np.where(self.kind == PLAIN, h[real], _KIND_HASH[self.kind])
+        self.word, self.alone = h[real], (first & last)[real]
+        self.hash = np.where(self.kind == PLAIN, self.word, _KIND_HASH[self.kind])
+        self.plain = np.concatenate([[0], np.cumsum(self.kind == PLAIN)])
+        # Words that are plain wherever they stand: they say which windows are poor, alike in item and document.
+        self.sure = np.concatenate([[0], np.cumsum(sure[real])])
         self.starts = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first token, hash) of every usable window of ``size`` tokens inside one text."""
-        n = len(self.hash) - size + 1
-        if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        h = np.full(n, size, np.uint64)
+    def windows(self, size: int, a: int = 0, b: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first token, hash, TEMPLATE or EXACT) of every window of ``size`` tokens inside one text, of the tokens from a to b."""
+        to = (len(self.hash) if b is None else b) - size + 1
+        n = max(0, to - a)
         mul = np.uint64(_MUL)
+        h = np.full(n, size, np.uint64)
+        for j in range(size):
+            h = h * mul + self.hash[a + j : a + j + n]
+        at = np.arange(a, a + n)
+        inside = self.doc[a + size - 1 : a + size - 1 + n] == self.doc[a : a + n]
+        rich = np.flatnonzero(inside & (self.plain[at + size] - self.plain[at] >= LITERALS))
+        poor = inside & (self.sure[at + size] - self.sure[at] < LITERALS)
+        if size == 1:
+            poor &= self.alone[a : a + n]
+        poor = at[poor]
+        same = np.full(len(poor), size + 256, np.uint64)
         for j in range(size):
-            h = h * mul + self.hash[j : j + n]
-        h ^= h >> np.uint64(29)
-        plain = np.concatenate([[0], np.cumsum(self.kind == PLAIN)])
-        good = (self.doc[size - 1 :] == self.doc[:n]) & (plain[size:] - plain[:n] >= LITERALS)
-        at = np.flatnonzero(good)
-        return at, h[at]
+            same = same * mul + self.word[poor + j]
+        h = np.concatenate([h[rich], same])
+        return np.concatenate([at[rich], poor]), h ^ (h >> np.uint64(29)), np.repeat([TEMPLATE, EXACT], [len(rich), len(poor)])
 
-    def slots(self, at: int, size: int) -> list[str]:
-        return [f"{int(self.kind[i])}:{self.flat[self.real[i]].lower()}" for i in range(at, at + size) if self.kind[i] != PLAIN]
+    def slots(self, at: int, size: int, form: int) -> list[str]:
+        span = range(at, at + size)
+        if form == EXACT:
+            return [f"{NUMBER if self.kind[i] == NUMBER else CAPITAL}:{self.flat[self.real[i]].lower()}" for i in span]
+        return [f"{int(self.kind[i])}:{self.flat[self.real[i]].lower()}" for i in span if self.kind[i] != PLAIN]
 
 
-_SCHEMA = "id bigint, pos int, size int, hash bigint, slots array<string>, windows int"
+_SCHEMA = "id bigint, pos int, size int, hash bigint, form int, slots array<string>, windows int, rich int"
 
 
 def _emit(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "pos", "size", "hash", "slots", "windows"])
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32()]
+    names = ["id", "pos", "size", "hash", "form", "slots", "windows", "rich"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """Usable windows of benchmark items, with the number of the item's windows."""
+    """Windows of benchmark items, with the number of the item's windows and of those that match by template."""
 
     def run(batches):
         lexicon = Lexicon()
@@ -144,11 +165,10 @@ def item_windows(items: DataFrame) -> DataFrame:
             for d, (a, b) in enumerate(zip(t.starts[:-1].tolist(), t.starts[1:].tolist(), strict=True)):
                 size = min(WINDOW, b - a)
                 if size:
-                    one = Templates.__new__(Templates)
-                    one.kind, one.doc, one.hash, one.flat, one.real = t.kind[a:b], t.doc[a:b], t.hash[a:b], t.flat, t.real[a:b]
-                    at, h = one.windows(size)
-                    for i, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-                        rows.append((names[d], i, size, x, one.slots(i, size), len(at)))
+                    at, h, form = t.windows(size, a, b)
+                    n, rich = b - a - size + 1, int((form == TEMPLATE).sum())
+                    for i, x, f in zip(at.tolist(), h.view(np.int64).tolist(), form.tolist(), strict=True):
+                        rows.append((names[d], i - a, size, x, f, t.slots(i, size, f), n, rich))
             yield _emit(rows)
 
     given = items.select(F.col("item_id").cast("bigint").alias("id"), common.utf8("text").alias("text")).where("id is not null")
@@ -156,7 +176,7 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 
 def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
-    """Usable windows of documents; only those in ``wanted`` (sorted hashes) if it is given."""
+    """Windows of documents; only those in ``wanted`` (sorted hashes) if it is given."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(wanted)
 
@@ -170,16 +190,16 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
             t = Templates(text.to_pylist(), lexicon)
             names, rows = ids.to_pylist(), []
             for size in sizes:
-                at, h = t.windows(size)
+                at, h, form = t.windows(size)
                 if wanted is not None:
                     maybe = low[(h & np.uint64(0xFFFFF)).astype(np.int64)]
-                    at, h = at[maybe], h[maybe]
+                    at, h, form = at[maybe], h[maybe], form[maybe]
                     found = np.searchsorted(wanted, h)
                     there = wanted[np.minimum(found, len(wanted) - 1)] == h if len(wanted) else np.zeros(len(h), bool)
-                    at, h = at[there], h[there]
-                for i, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
+                    at, h, form = at[there], h[there], form[there]
+                for i, x, f in zip(at.tolist(), h.view(np.int64).tolist(), form.tolist(), strict=True):
                     d = int(t.doc[i])
-                    rows.append((names[d], i - int(t.starts[d]), size, x, t.slots(i, size), 0))
+                    rows.append((names[d], i - int(t.starts[d]), size, x, f, t.slots(i, size, f), 0, 0))
                     if len(rows) >= 50_000:
                         yield _emit(rows)
                         rows = []
@@ -200,11 +220,15 @@ def contaminations(docs: DataFrame, items: DataFrame) -> DataFrame:
         wanted = np.unique(np.array([r["hash"] for r in bench.select("hash").distinct().collect()], dtype=np.int64).view(np.uint64))
     given = docs.select(F.col("doc_id").cast("bigint").alias("id"), common.utf8("text").alias("text"))
     found = document_windows(given, sizes, wanted)
-    met = found.select(F.col("id").alias("doc_id"), "pos", "hash", F.col("slots").alias("doc_slots")).join(
-        bench.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), "windows"), "hash"
+    met = found.select(F.col("id").alias("doc_id"), "pos", "hash", "form", F.col("slots").alias("doc_slots")).join(
+        bench.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", "form", F.col("slots").alias("item_slots"), "windows", "rich"),
+        ["hash", "form"],
     )
+    # Template windows are counted on their own, of those of the item, and together with the exact ones, of all.
+    views = F.when(F.col("form") == TEMPLATE, F.array(F.lit(TEMPLATE), F.lit(EXACT))).otherwise(F.array(F.lit(EXACT)))
+    met = met.withColumn("view", F.explode(views)).withColumn("windows", F.when(F.col("view") == EXACT, F.col("windows")).otherwise(F.col("rich")))
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))
-    occurrences = met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
+    occurrences = met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "view").agg(
         F.max("windows").alias("windows"),
         F.count_distinct("item_pos").alias("matched"),
         F.count_distinct(F.when(F.col("item_slots") == F.col("doc_slots"), F.col("item_pos"))).alias("equal"),

@@ -285,6 +285,24 @@ def test_decontamination_without_the_filter(spark, monkeypatch):
     assert {r["doc_id"]: r["item_ids"] for r in decontam.verdicts(docs, items).collect()} == {1: [8], 2: []}
 
 
+POOR = [
+    (1, "Compute 12 + 7 * 3"),
+    (2, "Did Barack Obama meet Angela Merkel in Berlin in 2015?"),
+    (3, "Weigh 5 kg"),
+    (4, "Paris"),
+]
+
+
+def test_items_poor_in_plain_words(spark):
+    data = [(i, f"Some words come first. {text} And some come after it.") for i, text in POOR[:3]]
+    data += [(4, "The answer is below.\nParis\nThat is all."), (5, "We went to Paris in the spring."), (6, "Compute 12 + 8 * 3"), (7, "Did Barack Obama meet Angela Merkel in Berlin in 2016?")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    items = spark.createDataFrame(POOR, "item_id bigint, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontam.verdicts(docs, items).collect()}
+    # Item 2 has three windows of equal tokens, two of them without the year.
+    assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [], 6: [], 7: [2]}
+
+
 def test_neighbours(spark, nothing):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))
