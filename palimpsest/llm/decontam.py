@@ -1,8 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become template tokens: numbers, units after a number, and names
-(capitalised words inside a sentence) turn into typed placeholders, other words
-into lower case. Windows of ``WINDOW`` template tokens of documents and
+(capitalised words) turn into typed placeholders, other words into lower case.
+A capital that starts a sentence or text may be a name or a plain word, and a
+unit that starts a window after a number may be a plain word: a window is
+emitted for every such reading, so that what precedes a copy does not matter.
+Windows of ``WINDOW`` template tokens of documents and
 benchmark items are joined by hash. Matches on one diagonal (document position
 less item position) are one occurrence of the item; its placeholders must be
 filled consistently: one slot value of the item always by one value of the
@@ -11,7 +14,9 @@ document. Inconsistent occurrences count only windows whose slots are equal.
 A document is contaminated by an item if an occurrence matches half of the
 item's windows, or ``RUN`` of them. Placeholders vary only in windows of
 ``LITERALS`` plain words, which are counted on their own; all windows together
-count with those poor in plain words, which match by equal tokens only. An item
+count with those poor in plain words, which match by equal tokens only. The
+windows whose sentence starts are all plain words also count on their own, since
+a first word that differs says nothing against the rest. An item
 shorter than the window is one window. An item of one token matches only where
 it is a whole sentence or line, as a single word of running text is no copy.
 
@@ -24,6 +29,7 @@ give no rows or no matches; other columns are ignored.
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +56,10 @@ UNITS = frozenset(
 
 _TOKEN = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+|[.!?\n]")
 PLAIN, NUMBER, UNIT, CAPITAL, END = range(5)
-#: How a window matches: by template, or by equal tokens.
-TEMPLATE, EXACT = range(2)
+#: How a window matches: by template with sentence starts as plain words, by template in another reading, or by equal tokens.
+LITERAL, TEMPLATE, EXACT = range(3)
+#: Windows read at a time; one has at most 2**WINDOW readings.
+STEP = 1 << 14
 _KIND_HASH = np.array([0] + [xxhash.xxh64_intdigest(f"<{k}>") for k in ("number", "unit", "name")], dtype=np.uint64)
 _MUL = 0x9E3779B97F4A7C15
 
@@ -76,7 +84,11 @@ class Lexicon:
 
     def __call__(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         slot = self.slot
-        new = list({t for t in tokens if t not in slot})
+        idx = np.fromiter(map(slot.get, tokens, repeat(-1)), np.int64, len(tokens))
+        unknown = np.flatnonzero(idx < 0).tolist()
+        if not unknown:
+            return self.kind[idx], self.hash[idx]
+        new = list({tokens[i] for i in unknown})
         kinds = np.array([_kind(t) for t in new], dtype=np.uint8)
         hashes = np.array([xxhash.xxh64_intdigest(t.lower().encode("utf-8", "surrogatepass")) for t in new], dtype=np.uint64)
         keep, at = min(len(new), CACHE_WORDS - len(slot)), len(slot)
@@ -84,12 +96,9 @@ class Lexicon:
             self.kind, self.hash = np.concatenate([self.kind, self.kind * 0]), np.concatenate([self.hash, self.hash * 0])
         self.kind[at : at + keep], self.hash[at : at + keep] = kinds[:keep], hashes[:keep]
         slot.update(zip(new[:keep], range(at, at + keep), strict=True))
-        if keep == len(new):
-            idx = np.fromiter(map(slot.__getitem__, tokens), np.int64, len(tokens))
-            return self.kind[idx], self.hash[idx]
-        extra = {w: len(self.kind) + i for i, w in enumerate(new[keep:])}
-        idx = np.array([i if (i := slot.get(w)) is not None else extra[w] for w in tokens], dtype=np.int64)
-        return np.concatenate([self.kind, kinds[keep:]])[idx], np.concatenate([self.hash, hashes[keep:]])[idx]
+        own = {w: len(self.kind) + i for i, w in enumerate(new)}
+        idx[unknown] = [own[tokens[i]] for i in unknown]
+        return np.concatenate([self.kind, kinds])[idx], np.concatenate([self.hash, hashes])[idx]
 
 
 class Templates:
@@ -106,42 +115,64 @@ class Templates:
         number_before[1:] = (kind[:-1] == NUMBER) & (doc[1:] == doc[:-1])
         last = np.append(first[1:] | (kind[1:] == END), True)
         sure = kind == PLAIN
-        kind = np.where((kind == CAPITAL) & first | (kind == UNIT) & ~number_before, PLAIN, kind)
+        kind = np.where((kind == UNIT) & ~number_before, PLAIN, kind)
         real = np.flatnonzero(kind != END)
         self.kind, self.doc, self.flat, self.real = kind[real], doc[real], flat, real
         self.word, self.alone = h[real], (first & last)[real]
+        self.open = ((kind == CAPITAL) & first)[real]
         self.hash = np.where(self.kind == PLAIN, self.word, _KIND_HASH[self.kind])
         self.plain = np.concatenate([[0], np.cumsum(self.kind == PLAIN)])
+        self.opened = np.concatenate([[0], np.cumsum(self.open)])
         # Words that are plain wherever they stand: they say which windows are poor, alike in item and document.
         self.sure = np.concatenate([[0], np.cumsum(sure[real])])
         self.starts = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
-    def windows(self, size: int, a: int = 0, b: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first token, hash, TEMPLATE or EXACT) of every window of ``size`` tokens inside one text, of the tokens from a to b."""
+    def windows(self, size: int, a: int = 0, b: int | None = None):
+        """(first token, hash, form, tokens read as plain words) of every window of ``size`` tokens inside one text, of the tokens from a to b, in parts."""
         to = (len(self.hash) if b is None else b) - size + 1
-        n = max(0, to - a)
+        for lo in range(a, to, STEP):
+            yield self._readings(size, lo, min(to, lo + STEP))
+
+    def _readings(self, size: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         mul = np.uint64(_MUL)
-        h = np.full(n, size, np.uint64)
+        h = np.full(hi - lo, size, np.uint64)
+        for j in range(size):
+            h = h * mul + self.hash[lo + j : hi + j]
+        at = np.arange(lo, hi)
+        inside = self.doc[lo + size - 1 : hi + size - 1] == self.doc[lo:hi]
+        plain, opened = self.plain[at + size] - self.plain[at], self.opened[at + size] - self.opened[at]
+        unit = self.kind[lo:hi] == UNIT
+        rich = inside & (plain + opened + unit >= LITERALS)
+        several = rich & ((opened > 0) | unit)
+        one, many = np.flatnonzero(rich & ~several), np.flatnonzero(several)
+        k, mask, g = many, np.zeros(len(many), np.uint8), h[many]
         for j in range(size):
-            h = h * mul + self.hash[a + j : a + j + n]
-        at = np.arange(a, a + n)
-        inside = self.doc[a + size - 1 : a + size - 1 + n] == self.doc[a : a + n]
-        rich = np.flatnonzero(inside & (self.plain[at + size] - self.plain[at] >= LITERALS))
+            other = self.open[lo + k + j] if j else self.open[lo + k] | unit[k]
+            sel = np.flatnonzero(other)
+            token = lo + k[sel] + j
+            change = (self.word[token] - self.hash[token]) * np.uint64(pow(_MUL, size - 1 - j, 1 << 64))
+            k, mask, g = np.concatenate([k, k[sel]]), np.concatenate([mask, mask[sel] | np.uint8(1 << j)]), np.concatenate([g, g[sel] + change])
+        chosen, first_unit = np.bitwise_count(mask), (mask & 1).astype(bool) & unit[k]
+        form = np.where((chosen == opened[k]) & ~first_unit, LITERAL, TEMPLATE)
+        enough = plain[k] + chosen >= LITERALS
+        k, mask, g, form = k[enough], mask[enough], g[enough], form[enough]
         poor = inside & (self.sure[at + size] - self.sure[at] < LITERALS)
         if size == 1:
-            poor &= self.alone[a : a + n]
+            poor &= self.alone[lo:hi]
         poor = at[poor]
         same = np.full(len(poor), size + 256, np.uint64)
         for j in range(size):
             same = same * mul + self.word[poor + j]
-        h = np.concatenate([h[rich], same])
-        return np.concatenate([at[rich], poor]), h ^ (h >> np.uint64(29)), np.repeat([TEMPLATE, EXACT], [len(rich), len(poor)])
+        h = np.concatenate([h[one], g, same])
+        forms = np.concatenate([np.full(len(one), LITERAL), form, np.full(len(poor), EXACT)])
+        masks = np.concatenate([np.zeros(len(one), np.uint8), mask, np.zeros(len(poor), np.uint8)])
+        return np.concatenate([at[one], at[k], poor]), h ^ (h >> np.uint64(29)), forms, masks
 
-    def slots(self, at: int, size: int, form: int) -> list[str]:
+    def slots(self, at: int, size: int, form: int, mask: int) -> list[str]:
         span = range(at, at + size)
         if form == EXACT:
             return [f"{NUMBER if self.kind[i] == NUMBER else CAPITAL}:{self.flat[self.real[i]].lower()}" for i in span]
-        return [f"{int(self.kind[i])}:{self.flat[self.real[i]].lower()}" for i in span if self.kind[i] != PLAIN]
+        return [f"{int(self.kind[i])}:{self.flat[self.real[i]].lower()}" for i in span if self.kind[i] != PLAIN and not mask >> (i - at) & 1]
 
 
 _SCHEMA = "id bigint, pos int, size int, hash bigint, form int, slots array<string>, windows int, rich int"
@@ -165,10 +196,11 @@ def item_windows(items: DataFrame) -> DataFrame:
             for d, (a, b) in enumerate(zip(t.starts[:-1].tolist(), t.starts[1:].tolist(), strict=True)):
                 size = min(WINDOW, b - a)
                 if size:
-                    at, h, form = t.windows(size, a, b)
-                    n, rich = b - a - size + 1, int((form == TEMPLATE).sum())
-                    for i, x, f in zip(at.tolist(), h.view(np.int64).tolist(), form.tolist(), strict=True):
-                        rows.append((names[d], i - a, size, x, f, t.slots(i, size, f), n, rich))
+                    parts = list(t.windows(size, a, b))
+                    n, rich = b - a - size + 1, sum(int((form == LITERAL).sum()) for _, _, form, _ in parts)
+                    for at, h, form, mask in parts:
+                        for i, x, f, m in zip(at.tolist(), h.view(np.int64).tolist(), form.tolist(), mask.tolist(), strict=True):
+                            rows.append((names[d], i - a, size, x, f, t.slots(i, size, f, m), n, rich))
             yield _emit(rows)
 
     given = items.select(F.col("item_id").cast("bigint").alias("id"), common.utf8("text").alias("text")).where("id is not null")
@@ -190,19 +222,19 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
             t = Templates(text.to_pylist(), lexicon)
             names, rows = ids.to_pylist(), []
             for size in sizes:
-                at, h, form = t.windows(size)
-                if wanted is not None:
-                    maybe = low[(h & np.uint64(0xFFFFF)).astype(np.int64)]
-                    at, h, form = at[maybe], h[maybe], form[maybe]
-                    found = np.searchsorted(wanted, h)
-                    there = wanted[np.minimum(found, len(wanted) - 1)] == h if len(wanted) else np.zeros(len(h), bool)
-                    at, h, form = at[there], h[there], form[there]
-                for i, x, f in zip(at.tolist(), h.view(np.int64).tolist(), form.tolist(), strict=True):
-                    d = int(t.doc[i])
-                    rows.append((names[d], i - int(t.starts[d]), size, x, f, t.slots(i, size, f), 0, 0))
-                    if len(rows) >= 50_000:
-                        yield _emit(rows)
-                        rows = []
+                for at, h, form, mask in t.windows(size):
+                    if wanted is not None:
+                        maybe = low[(h & np.uint64(0xFFFFF)).astype(np.int64)]
+                        at, h, form, mask = at[maybe], h[maybe], form[maybe], mask[maybe]
+                        found = np.searchsorted(wanted, h)
+                        there = wanted[np.minimum(found, len(wanted) - 1)] == h if len(wanted) else np.zeros(len(h), bool)
+                        at, h, form, mask = at[there], h[there], form[there], mask[there]
+                    for i, x, f, m in zip(at.tolist(), h.view(np.int64).tolist(), form.tolist(), mask.tolist(), strict=True):
+                        d = int(t.doc[i])
+                        rows.append((names[d], i - int(t.starts[d]), size, x, f, t.slots(i, size, f, m), 0, 0))
+                        if len(rows) >= 50_000:
+                            yield _emit(rows)
+                            rows = []
             yield _emit(rows)
 
     return docs.where("id is not null").mapInArrow(run, _SCHEMA)
@@ -220,12 +252,12 @@ def contaminations(docs: DataFrame, items: DataFrame) -> DataFrame:
         wanted = np.unique(np.array([r["hash"] for r in bench.select("hash").distinct().collect()], dtype=np.int64).view(np.uint64))
     given = docs.select(F.col("doc_id").cast("bigint").alias("id"), common.utf8("text").alias("text"))
     found = document_windows(given, sizes, wanted)
-    met = found.select(F.col("id").alias("doc_id"), "pos", "hash", "form", F.col("slots").alias("doc_slots")).join(
+    met = found.select(F.col("id").alias("doc_id"), "pos", "hash", F.col("form").alias("doc_form"), F.col("slots").alias("doc_slots")).join(
         bench.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", "form", F.col("slots").alias("item_slots"), "windows", "rich"),
-        ["hash", "form"],
+        "hash",
     )
-    # Template windows are counted on their own, of those of the item, and together with the exact ones, of all.
-    views = F.when(F.col("form") == TEMPLATE, F.array(F.lit(TEMPLATE), F.lit(EXACT))).otherwise(F.array(F.lit(EXACT)))
+    # Literal windows are counted on their own, then with the other templates, both of the item's rich windows; all together of all.
+    views = F.sequence(F.greatest("form", "doc_form"), F.lit(EXACT))
     met = met.withColumn("view", F.explode(views)).withColumn("windows", F.when(F.col("view") == EXACT, F.col("windows")).otherwise(F.col("rich")))
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))
     occurrences = met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "view").agg(

@@ -303,6 +303,29 @@ def test_items_poor_in_plain_words(spark):
     assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [], 6: [], 7: [2]}
 
 
+STARTS = [
+    (1, "What is the tallest mountain in the world?"),
+    (2, "Tom has 5 apples. Tom gives 2 to Ann. Ann eats 1. How many are left?"),
+    (3, "Days of rain and wind have closed the pass."),
+]
+
+
+def test_sentence_starts(spark):
+    data = [
+        (1, "Question: What is the tallest mountain in the world? Answer: none."),
+        (2, "She asked me what is the tallest mountain in the world, and left."),
+        (3, "Exercise. Bob has 7 apples. Bob gives 3 to Eve. Eve eats 2. How many are left? Four."),
+        (4, "Exercise. Bob has 7 apples. Joe gives 3 to Eve. Ida eats 2. Why many are left? Four."),
+        (5, "After 12 days of rain and wind have closed the pass."),
+        (6, "Tell us: What is the tallest building in the world?"),
+        (7, "A. B. C. D. E. F. G. H. I. J. " * 50),
+    ]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    items = spark.createDataFrame(STARTS, "item_id bigint, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontam.verdicts(docs, items).collect()}
+    assert got == {1: [1], 2: [1], 3: [2], 4: [], 5: [3], 6: [], 7: []}
+
+
 def test_neighbours(spark, nothing):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))
