@@ -496,6 +496,14 @@ def hardlink_groups(spark, d):
     return maintenance.hardlinks(items).select("l_orderkey", "l_linenumber", F.col("path").alias("l_partkey"), F.col("owner_path").alias("owner"))
 
 
+@register("hardlink_groups_all", "select l_orderkey, l_linenumber, l_partkey, first_value(l_partkey) over (partition by l_orderkey, l_suppkey order by l_linenumber, l_partkey) as owner from lineitem")
+def hardlink_groups_all(spark, d):
+    """Groups of all line items; hardlink_groups keeps the fifth that its SQL names."""
+    lines = table(spark, d, "lineitem")
+    items = lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("path"), F.struct("l_orderkey", "l_suppkey").alias("hlid"), F.struct("l_linenumber", "l_partkey").alias("ordinal"))
+    return maintenance.hardlinks(items).select("l_orderkey", "l_linenumber", F.col("path").alias("l_partkey"), F.col("owner_path").alias("owner"))
+
+
 @register("resolve_owner", "select c_custkey, c_name as \"user\", case when n_name is null then c_custkey else n_nationkey end as uid from customer left join nation on n_nationkey = c_nationkey and n_name < 'M'")
 def resolve_owner(spark, d):
     customers = table(spark, d, "customer")

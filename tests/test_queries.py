@@ -1,5 +1,5 @@
 import pytest
-from oracle import check
+from oracle import DATA, check, connect
 
 from palimpsest.plans import registry
 
@@ -15,3 +15,8 @@ def test_entry(spark):
     assert set(registry.queries()) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_hardlinks_of_every_line(spark):
+    n = connect().execute("select count(*) from lineitem").fetchone()[0]
+    assert registry.queries()["hardlink_groups_all"](spark, DATA).count() == n
