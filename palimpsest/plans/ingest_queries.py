@@ -113,6 +113,16 @@ def second_archive_new_chunks(spark, d):
 @register("stream_ingest", "select count(distinct id) as chunks from (select sha256(substr(text, (k * 512 + 1)::int, 512)) as id from (select text, unnest(range(0, ((len(text) + 511) // 512)::int)) as k from documents where text <> '' and strlen(text) = len(text))) ")
 def stream_ingest(spark, d):
     """ASCII documents through a stream: each 512-byte chunk is stored once."""
+    return _streamed(spark, d, F.octet_length("text") == F.length("text"))
+
+
+@register("stream_ingest_all", "select count(distinct id) as chunks from (select substr(hex(encode(text)), (k * 1024 + 1)::int, 1024) as id from (select text, unnest(range(0, ((strlen(text) + 511) // 512)::int)) as k from documents where text <> ''))")
+def stream_ingest_all(spark, d):
+    """All documents through a stream; stream_ingest keeps those that its SQL can cut by characters."""
+    return _streamed(spark, d, F.lit(True))
+
+
+def _streamed(spark, d, keep):
     import uuid
 
     from palimpsest.streaming.ingest import stream_chunks
@@ -121,8 +131,7 @@ def stream_ingest(spark, d):
     where = f"{root}/stream-{uuid.uuid4().hex}"
     # The table is one Parquet path; a stream lists its folder.
     files = spark.readStream.schema(table(spark, d, "documents").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/documents.parque[t]")
-    ascii_only = files.where(F.octet_length("text") == F.length("text")).select("doc_id", "text")
-    stream_chunks(ascii_only, f"{where}/chunks", f"{where}/checkpoint", "doc_id", "text", "fixed,512").awaitTermination()
+    stream_chunks(files.where(keep).select("doc_id", "text"), f"{where}/chunks", f"{where}/checkpoint", "doc_id", "text", "fixed,512").awaitTermination()
     return spark.read.schema("chunk_id string, size bigint").parquet(f"{where}/chunks").agg(F.count("*").alias("chunks"))
 
 

@@ -20,3 +20,10 @@ def test_entry(spark):
 def test_hardlinks_of_every_line(spark):
     n = connect().execute("select count(*) from lineitem").fetchone()[0]
     assert registry.queries()["hardlink_groups_all"](spark, DATA).count() == n
+
+
+def test_stream_of_every_document(spark):
+    texts = [r[0].encode() for r in connect().execute("select text from documents where text <> ''").fetchall()]
+    chunks = {t[i : i + 512] for t in texts for i in range(0, len(t), 512)}
+    assert any(len(t) != len(t.decode()) for t in texts)
+    assert registry.queries()["stream_ingest_all"](spark, DATA).first()["chunks"] == len(chunks)
