@@ -102,6 +102,11 @@ def padme_padding(spark, d):
     return table(spark, d, "documents").where("n_chars >= 4").select("doc_id", F.col("n_chars").alias("size"), scalars.padme(F.col("n_chars")).alias("padding"))
 
 
+@register("padme_padding_all", "select doc_id, n_chars as size, (case when n_chars < 4 then 0 else ((n_chars + m) & ~m) - n_chars end)::bigint as padding from (select *, (1::bigint << (e - s)::int) - 1 as m from (select *, floor(log2(e))::int + 1 as s from (select doc_id, n_chars, floor(log2(greatest(n_chars, 4)))::int as e from documents)))")
+def padme_padding_all(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("size"), scalars.padme(F.col("n_chars")).alias("padding"))
+
+
 @register("iso_week", "select event_id, strftime(ts, '%G-%V') as week, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') as iso, strftime(ts, '%a, %Y-%m-%d %H:%M:%S +0000') as display from events")
 def iso_week(spark, d):
     t = F.col("ts")

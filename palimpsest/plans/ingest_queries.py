@@ -98,6 +98,14 @@ def recreate_rechunk(spark, d):
     return repo.extract(repo.recreate(old, chunker="buzhash64,8,12,10,63")).select("path", F.sha2("content", 256).alias("id"))
 
 
+@register("recreate_rechunk_all", "select source || '/' || doc_id as path, sha256(text) as id from documents")
+def recreate_rechunk_all(spark, d):
+    """An archive of all documents again with other chunks; recreate_rechunk leaves out what its SQL does."""
+    repo = _repository(spark)
+    old = repo.create("docs", _files(spark, d, F.lit(True)), "fixed,512", time=datetime(2024, 1, 1))
+    return repo.extract(repo.recreate(old, chunker="buzhash64,8,12,10,63")).select("path", F.sha2("content", 256).alias("id"))
+
+
 @register("second_archive_new_chunks", """with b as (select doc_id, unnest(range(0, ((len(text) + 255) // 256)::int)) as k, text from documents where text <> ''),
   c as (select doc_id, sha256(substr(text, (k * 256 + 1)::int, 256)) as id from b)
   select count(distinct id) as new_chunks from c where doc_id % 2 = 1 and id not in (select id from c where doc_id % 2 = 0)""")
@@ -144,6 +152,16 @@ def recompress_tally(spark, d):
     return maintenance.recompress_tally(again, "zlib", 6).select("outcome", "objects")
 
 
+@register("recompress_tally_all")
+def recompress_tally_all(spark, d):
+    """All documents, stored plain; which of them gain depends on the codec, so there is no SQL."""
+    from palimpsest.operators import maintenance
+
+    rows = _bytes(spark, d).select(F.col("data"), F.octet_length("data").cast("bigint").alias("csize"), F.lit("none").alias("ctype"), F.lit(0).alias("clevel"))
+    again = rows.withColumn("new_csize", F.octet_length(codec.compressed(F.col("data"), "zlib,6")["data"]))
+    return maintenance.recompress_tally(again, "zlib", 6)
+
+
 @register("unmatched_patterns", "select unnest(['nowhere', 'src1/zz']) as pattern")
 def unmatched_patterns(spark, d):
     paths = table(spark, d, "documents").select(F.concat_ws("/", "source", "lang").alias("path"))

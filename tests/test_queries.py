@@ -1,3 +1,6 @@
+import zlib
+from collections import Counter
+
 import pytest
 from oracle import DATA, check, connect
 
@@ -27,3 +30,16 @@ def test_stream_of_every_document(spark):
     chunks = {t[i : i + 512] for t in texts for i in range(0, len(t), 512)}
     assert any(len(t) != len(t.decode()) for t in texts)
     assert registry.queries()["stream_ingest_all"](spark, DATA).first()["chunks"] == len(chunks)
+
+
+def test_recompress_every_document(spark):
+    texts = [r[0].encode() for r in connect().execute("select text from documents").fetchall()]
+    want = Counter("recompressed" if len(zlib.compress(t, 6)) < len(t) else "no gain" for t in texts)
+    assert len(want) == 2
+    assert {r["outcome"]: r["objects"] for r in registry.queries()["recompress_tally_all"](spark, DATA).collect()} == want
+
+
+def test_recreate_and_padding_of_every_document(spark):
+    n = connect().execute("select count(*) from documents").fetchone()[0]
+    assert registry.queries()["recreate_rechunk_all"](spark, DATA).count() == n
+    assert registry.queries()["padme_padding_all"](spark, DATA).count() == n
