@@ -7,7 +7,7 @@ has. With different chunker parameters only total sizes can be compared.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.analyze import content_size
@@ -73,6 +73,23 @@ def reported(changes: DataFrame) -> DataFrame:
     return changes.orderBy("order1", "order2", "order3")
 
 
+def placed(changes: DataFrame, folder: str, parts: int | None = None) -> DataFrame:
+    """Rows with ``place`` (from 1) in the default order, dealt by ranges that are kept in ``folder``: no task sees all rows."""
+    spark = changes.sparkSession
+    order = ("order1", "order2", "order3")
+    dealt = changes.repartitionByRange(parts, *order) if parts else changes.repartitionByRange(*order)
+    dealt = dealt.withColumn("part", F.spark_partition_id())
+    dealt.write.parquet(folder)
+    rows = spark.read.schema(dealt.schema).parquet(folder)
+    before, at = [], 0
+    for part, n in sorted(rows.groupBy("part").count().collect()):
+        before.append((part, at))
+        at += n
+    starts = spark.createDataFrame(before, "part int, before bigint")
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return rows.join(F.broadcast(starts), "part").withColumn("place", F.col("before") + inside).drop("part", "before")
+
+
 #: Sort keys of a diff (fixed values) and what they sort by.
 SORT_KEYS = {
     "path": F.col, "size_added": lambda _: F.col("added"), "size_removed": lambda _: F.col("removed"),

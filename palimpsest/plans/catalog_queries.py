@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -166,6 +168,13 @@ def diff_order(spark, d):
     return first.select("path", "kind", F.row_number().over(Window.orderBy("order1", "order2", "order3")).cast("bigint").alias("place"))
 
 
+@register("diff_order_all", _diff_sql(f"select path, kind, row_number() over (order by order1, order2, order3) as place from r where {_KEEP}"))
+def diff_order_all(spark, d):
+    """The whole diff with places; diff_order keeps the 200 rows of its SQL."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-diff-")
+    return diff.placed(diff.compare(*_months(spark, d)), f"{root}/diff-{uuid.uuid4().hex}").select("path", "kind", "place")
+
+
 @register(
     "diff_largest",
     _diff_sql(f"select path, added, removed from r where {_KEEP} order by added - removed desc, path limit 50"),

@@ -1,3 +1,4 @@
+import tempfile
 import zlib
 from collections import Counter
 
@@ -43,3 +44,22 @@ def test_recreate_and_padding_of_every_document(spark):
     n = connect().execute("select count(*) from documents").fetchone()[0]
     assert registry.queries()["recreate_rechunk_all"](spark, DATA).count() == n
     assert registry.queries()["padme_padding_all"](spark, DATA).count() == n
+
+
+def test_order_of_a_whole_diff(spark):
+    queries = registry.queries()
+    rows = sorted(queries["diff_order_all"](spark, DATA).collect(), key=lambda r: r["place"])
+    assert [r["place"] for r in rows] == list(range(1, queries["diff_months"](spark, DATA).count() + 1))
+    kinds = [r["kind"] for r in rows]
+    assert kinds == sorted(kinds, key=["changed", "added", "removed"].index) and len(set(kinds)) > 1
+
+
+def test_places_over_many_ranges(spark):
+    from palimpsest.operators import diff
+
+    changes = spark.range(5000).selectExpr("cast(id % 3 as int) as order1", "id as order2", "0 as order3")
+    folder = tempfile.mkdtemp() + "/placed"
+    rows = sorted(diff.placed(changes, folder, 7).collect(), key=lambda r: r["place"])
+    assert [r["place"] for r in rows] == list(range(1, 5001))
+    assert [tuple(r)[:3] for r in rows] == sorted(tuple(r)[:3] for r in rows)
+    assert spark.read.parquet(folder).select("part").distinct().count() > 1
