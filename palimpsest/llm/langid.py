@@ -32,7 +32,6 @@ from palimpsest.llm import common
 
 SAMPLE_DOCS = 400
 EM_ROUNDS = 4
-PIECE_CHARS = 8
 WORD_CHARS = 24
 SMOOTHING = 0.05
 UNKNOWN = 1e-6
@@ -62,6 +61,7 @@ class Pieces:
 
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
+        self.longest = max(map(len, pieces), default=1)
         keys = np.array([self._hash(p) for p in pieces], dtype=np.uint64)
         self.tables = []
         rest = np.arange(len(pieces))
@@ -88,12 +88,11 @@ class Pieces:
     def find(self, codes: np.ndarray) -> np.ndarray:
         """(word, start, length - 1) -> piece or -1, for code points padded with zeros."""
         n, width = codes.shape
-        out = np.full((n, width, PIECE_CHARS), -1, np.int32)
+        longest = min(self.longest, width)
+        out = np.full((n, width, longest), -1, np.int32)
         h = np.zeros((n, width), np.uint64)
-        for size in range(1, PIECE_CHARS + 1):
+        for size in range(1, longest + 1):
             stop = width - size + 1
-            if stop <= 0:
-                break
             h = h[:, :stop] * _MUL + (codes[:, size - 1 :] + np.uint64(1))
             found = np.full(h.shape, -1, np.int32)
             for mul, table_key, table_id in self.tables:
@@ -105,7 +104,7 @@ class Pieces:
 
 
 def vocabulary(model_path: str) -> list[str]:
-    """Pieces of a sentencepiece model up to PIECE_CHARS characters, in lower case, without control and byte pieces."""
+    """Pieces of a sentencepiece model, in lower case, without control and byte pieces."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -113,7 +112,7 @@ def vocabulary(model_path: str) -> list[str]:
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)):
             piece = model.id_to_piece(i).lower()
-            if len(piece) <= PIECE_CHARS and all(c == MARK or c.isalpha() for c in piece):
+            if all(c == MARK or c.isalpha() for c in piece):
                 seen[piece] = None
     return list(seen)
 
@@ -151,7 +150,7 @@ class Model:
         alpha = np.zeros((width + 1, n, self.probs.shape[1]))
         alpha[0] = 1.0
         for j in range(1, width + 1):
-            for size in range(1, min(PIECE_CHARS, j) + 1):
+            for size in range(1, min(self.pieces.longest, j) + 1):
                 p = found[:, j - size, size - 1]
                 rows = np.flatnonzero(p >= 0)
                 if len(rows):
@@ -178,7 +177,7 @@ class Model:
             whole = alpha[sizes, np.arange(n)]
             weight = counts[own] / np.maximum(whole, 1e-300)
             for i in range(width - 1, -1, -1):
-                for size in range(1, min(PIECE_CHARS, width - i) + 1):
+                for size in range(1, min(self.pieces.longest, width - i) + 1):
                     p = found[:, i, size - 1]
                     rows = np.flatnonzero((p >= 0) & (i + size <= sizes))
                     if len(rows):

@@ -190,6 +190,13 @@ def test_language(spark, nothing):
     assert {r["lang_pred"] for r in langid.predict(blind, model).collect()} == {"und"}
 
 
+def test_long_pieces_are_segments():
+    assert max(map(len, langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))) > 8
+    pieces = langid.Pieces(["▁", "a", "▁aaaaaaaaaaaa"])
+    model = langid.Model(["x"], pieces, np.array([[0.1], [0.2], [0.3]]))
+    assert np.allclose(np.exp(model.log_likelihood(["a" * 12, "a" * 13])[:, 0]), [0.3 + 0.1 * 0.2**12, 0.3 * 0.2 + 0.1 * 0.2**13])
+
+
 def test_forward_sums_all_segmentations():
     pieces = langid.Pieces(["▁", "▁a", "a", "b", "ab", "▁ab", "aba"])
     probs = np.array([[0.1], [0.2], [0.15], [0.25], [0.1], [0.05], [0.15]])
