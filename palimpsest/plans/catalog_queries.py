@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from palimpsest.operators import analyze, catalog, diff, maintenance, patterns,
 from palimpsest.plans import views
 from palimpsest.plans.registry import register
 from palimpsest.plans.views import INDEX_SQL, ITEMS_SQL, PACKS_SQL, REFS_SQL, SNAPSHOTS_SQL, table, with_sql
+from palimpsest.session import shared_folder
 
 # Analysis
 
@@ -171,8 +170,7 @@ def diff_order(spark, d):
 @register("diff_order_all", _diff_sql(f"select path, kind, row_number() over (order by order1, order2, order3) as place from r where {_KEEP}"))
 def diff_order_all(spark, d):
     """The whole diff with places; diff_order keeps the 200 rows of its SQL."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-diff-")
-    return diff.placed(diff.compare(*_months(spark, d)), f"{root}/diff-{uuid.uuid4().hex}").select("path", "kind", "place")
+    return diff.placed(diff.compare(*_months(spark, d)), shared_folder(spark, "diff")).select("path", "kind", "place")
 
 
 @register(

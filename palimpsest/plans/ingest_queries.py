@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from palimpsest.operators import patterns
 from palimpsest.plans.registry import register
 from palimpsest.plans.repository import Repository
 from palimpsest.plans.views import table
+from palimpsest.session import shared_folder
 
 _BLOCKS_SQL = """with b as (select doc_id, source, unnest(range(0, ((len(text) + 255) // 256)::int)) as ordinal, text from documents where text <> ''),
   c as (select doc_id, source, ordinal, ordinal * 256 as "offset", len(substr(text, (ordinal * 256 + 1)::int, 256)) as size, sha256(substr(text, (ordinal * 256 + 1)::int, 256)) as chunk_id from b)"""
@@ -69,10 +69,7 @@ def compress_round_trip(spark, d):
 
 
 def _repository(spark) -> Repository:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-repo-")
-    import uuid
-
-    return Repository(spark, f"{root}/repo-{uuid.uuid4().hex}").create_repository()
+    return Repository(spark, shared_folder(spark, "repo")).create_repository()
 
 
 def _files(spark, d, keep):
@@ -131,12 +128,9 @@ def stream_ingest_all(spark, d):
 
 
 def _streamed(spark, d, keep):
-    import uuid
-
     from palimpsest.streaming.ingest import stream_chunks
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-stream-")
-    where = f"{root}/stream-{uuid.uuid4().hex}"
+    where = shared_folder(spark, "stream")
     # The table is one Parquet path; a stream lists its folder.
     files = spark.readStream.schema(table(spark, d, "documents").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/documents.parque[t]")
     stream_chunks(files.where(keep).select("doc_id", "text"), f"{where}/chunks", f"{where}/checkpoint", "doc_id", "text", "fixed,512").awaitTermination()
