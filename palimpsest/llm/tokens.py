@@ -2,7 +2,9 @@
 
 ``CachedTokenizer`` gives exactly the ids of a public tokenizer. Both kinds it
 knows cut a text at white space before they merge, so the ids of a word do not
-depend on its neighbours: each distinct word is tokenized once per worker.
+depend on its neighbours: each distinct word is tokenized once per worker. The
+file's added tokens (``<|endoftext|>``) that stand in a text get the file's ids
+for them, as from the library; ``special=False`` makes them ordinary text.
 
 ``DirectCodes`` is the file format. An id is cut into chunks of eight bits,
 lowest first. Level 0 holds the first chunk of every id, level 1 the second
@@ -26,8 +28,10 @@ import json
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +52,12 @@ _SPACE_PAIR = re.compile(r"\s\s")
 _CHUNK = re.compile(r"(?<=\S)(?=[ ]\S)")
 
 
+@lru_cache(4096)
+def _stays_letter(char: str) -> bool:
+    """Whether a letter is followed by no mark once it is normalized and in lower case."""
+    return char.isalpha() and unicodedata.normalize("NFC", char).lower()[-1].isalpha()
+
+
 class CachedTokenizer:
     """Ids of a tokenizers file, word by word.
 
@@ -55,17 +65,23 @@ class CachedTokenizer:
     (byte-level BPE); else white space is dropped (BPE with word ends).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            pre = json.load(f).get("pre_tokenizer") or {}
+            file = json.load(f)
+        pre, added = file.get("pre_tokenizer") or {}, file.get("added_tokens") or []
         self.spaced = pre.get("type") == "ByteLevel"
         if not self.spaced and pre.get("pretokenizers", [{}])[0].get("behavior") != "Removed":
             raise ValueError(f"{path}: this pre-tokenizer may join words; it is not supported")
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not special
+        self.added = {t["content"]: struct.pack("<I", t["id"]) for t in added}
+        if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")) or not special and not all(t["special"] for t in added):
+            raise ValueError(f"{path}: added tokens that match other than literally are not supported")
+        longest = sorted(self.added, key=len, reverse=True)
+        self.at_added = re.compile(f"({'|'.join(map(re.escape, longest))})") if special and longest else None
         self.cache: dict[str, bytes] = {}
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
@@ -80,7 +96,7 @@ class CachedTokenizer:
         stems: dict[str, None] = {}
         split: list[tuple[str, str, str]] = []
         for w in words:
-            if len(w) > 2 and w[-1] in ".," and w[-2].isalpha():
+            if len(w) > 2 and w[-1] in ".," and _stays_letter(w[-2]):
                 split.append((w, w[:-1], w[-1]))
                 stems[w[:-1]] = None
             else:
@@ -113,6 +129,14 @@ class CachedTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if self.at_added is None or not any(x in t for t in texts for x in self.added):
+            return self._encode(texts)
+        # Added tokens cut a text before anything else; what is between them stands alone.
+        split = [self.at_added.split(t) for t in texts]
+        between = iter(self._encode([x for own in split for x in own[::2]]))
+        return [b"".join(self.added[x] if i % 2 else next(between) for i, x in enumerate(own)) for own in split]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(t) for t in texts]
         cache = self.cache
         new = {w for words in cut for w in words if w not in cache}

@@ -21,22 +21,30 @@ FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 
 def library(name):
-    tok = Tokenizer.from_file(public_tokenizers.path(name))
-    tok.encode_special_tokens = True
-    return tok
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 @pytest.mark.parametrize("name", FILES)
 def test_cached_tokenizer(name, rows):
     rnd = random.Random(1)
     bits = ["a", "the", "Ü", "é", "\n", "  ", "\t", " ", ".", ",", "'s", "don't", "12", "3", "<|endoftext|>", " ", "日本", "\x1c", "́", "​", "!?", "😀", "\x00", "\u0085", " "]
-    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25))) for _ in range(1500)] + [t or "" for _, t, _ in rows]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25))) for _ in range(20_000)] + [t or "" for _, t, _ in rows]
     want = [e.ids for e in library(name).encode_batch(texts, add_special_tokens=False)]
     tok = tokens.CachedTokenizer(public_tokenizers.path(name))
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x in tok.encode(texts)] == want
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_added_tokens_as_ordinary_text(name):
+    texts = ["a <|endoftext|>b", "<|endoftext|><|endoftext|>", "İ, rİ,"]
+    tok = library(name)
+    tok.encode_special_tokens = True
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.CachedTokenizer(public_tokenizers.path(name), special=False).encode(texts)] == want
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.CachedTokenizer(public_tokenizers.path(name)).encode(texts)] != want
+
+
 def test_full_cache(monkeypatch, rows):
     monkeypatch.setattr(tokens, "CACHE_WORDS", 10)
     tok = tokens.CachedTokenizer(public_tokenizers.path(FILES[0]))
