@@ -107,6 +107,12 @@ def parts(spark: SparkSession, floor: int = 1) -> int:
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def parts_for(df: DataFrame, most_bytes: int = 16 << 20) -> int:
+    """Partitions for a Python stage that holds its partition: as parts(), more where the input's size asks for it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(parts(df.sparkSession), min(-(-size // most_bytes), 1 << 20) if size < 1 << 60 else 1)
+
+
 def worker_state(kind: str, key: str, make):
     """Per-process object that outlives one task; Python workers are reused.
 

@@ -11,7 +11,10 @@ each other. Texts of these pairs are compared exactly, and union-find joins
 those of at least ``SIMILARITY``. Groups that still hold members of several
 components are then looked at again, member against member of another
 component, in units of at most 2 * ``GROUP`` members, so that a link between
-two members which both differ from the smallest one is not lost.
+two members which both differ from the smallest one is not lost. Members of
+groups above ``GROUP``, as lines made from one template are, first go into
+groups of those that share one of their rarest shingles: two lines of the
+similarity must, so lines that only share the template are not compared.
 
 Of each component the line that comes first, by (doc_id, line number), is kept;
 all others are removed. Blank lines are never removed.
@@ -24,6 +27,7 @@ columns pass through ``apply`` and are ignored elsewhere.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
@@ -42,9 +46,19 @@ SHINGLE = 7
 ROWS = 4
 BANDS = 14
 SIMILARITY = 0.8
+#: Fills up short lines; no text holds a surrogate.
+PAD = "\udfff"
+#: Members of a group that are compared with each other at once; larger groups are first split by rare shingles.
 GROUP = 256
-#: Shingles that are hashed at once.
-STEP = 1 << 17
+#: Characters of lines whose shingles a task holds, and shingles that one comparison of a group takes at a time.
+HELD = 1 << 20
+SLICE = 1 << 21
+#: The order of shingles in large groups comes from SAMPLE lines under LONG characters, and names ORDERED shingles at most.
+SAMPLE = 2_000
+LONG = 4_000
+ORDERED = 200_000
+#: Shingles that are hashed at once: what a core's cache holds.
+STEP = 1 << 15
 
 _RNG = np.random.default_rng(20240117)
 _A = (_RNG.integers(0, 2**31, ROWS * BANDS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -66,14 +80,63 @@ def jaccard(a: set[str], b: set[str]) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def _ranked(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """Values by their rank among the distinct ones, and how many those are."""
+    seen, rank = np.unique(values, return_inverse=True)
+    return rank.astype(np.uint64), len(seen)
+
+
+def shingle_ids(lines: list[str]) -> list[np.ndarray]:
+    """Distinct shingles of each line as sorted numbers, one number for one shingle throughout the lines."""
+    if not lines:
+        return []
+    joined = "".join(x if len(x) >= SHINGLE else x.ljust(SHINGLE, PAD) for x in lines)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    there = np.zeros(0x110000, dtype=bool)
+    there[codes] = True
+    letters = int(there.sum())
+    c = (np.cumsum(there) - 1).astype(np.uint64)[codes]
+    if letters <= 1 << 9:
+        # Seven characters of nine bits are one number.
+        two = c[:-1] << np.uint64(9) | c[1:]
+        four = two[:-2] << np.uint64(18) | two[2:]
+        seven = four[:-3] << np.uint64(27) | two[4 : len(four) + 1] << np.uint64(9) | c[6 : 6 + len(four) - 3]
+    else:
+        # Two runs of four characters that overlap in one, each by its rank.
+        two = c[:-1] * np.uint64(letters) + c[1:]
+        two = _ranked(two)[0]
+        four, n = _ranked(two[:-2] << np.uint64(32) | two[2:])
+        seven = four[:-3] * np.uint64(n) + four[3:]
+    out, at = [], 0
+    for x in lines:
+        size = max(len(x), SHINGLE)
+        own = np.sort(seven[at : at + size - SHINGLE + 1])
+        fresh = np.ones(len(own), dtype=bool)
+        np.not_equal(own[1:], own[:-1], out=fresh[1:])
+        out.append(own[fresh])
+        at += size
+    return out
+
+
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many numbers two sorted arrays of distinct ones share."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
 
 
-def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(32-bit hash of every shingle, first shingle of each line)."""
-    joined = "".join(x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines)
+def _wide_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every shingle, first shingle of each line)."""
+    joined = "".join(x if len(x) >= SHINGLE else x.ljust(SHINGLE, PAD) for x in lines)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     sizes = np.array([max(len(x), SHINGLE) for x in lines], dtype=np.int64)
     c = _mix(codes + np.uint64(1))
@@ -87,24 +150,36 @@ def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         at = ends - k
         good[at[at < len(good)]] = False
     counts = sizes - SHINGLE + 1
-    return (_mix(seven[good]) >> np.uint64(32)).astype(np.uint32), np.concatenate([[0], np.cumsum(counts)[:-1]])
+    return _mix(seven[good]), np.concatenate([[0], np.cumsum(counts)[:-1]])
+
+
+def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(32-bit hash of every shingle, first shingle of each line)."""
+    h, first = _wide_hashes(lines)
+    return (h >> np.uint64(32)).astype(np.uint32), first
+
+
+def _steps(lines: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Runs (from, to) of lines with about ``most`` shingles."""
+    ends = np.cumsum([max(len(x) - SHINGLE + 1, 1) for x in lines])
+    at, before = 0, 0
+    while at < len(lines):
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield at, to
+        at, before = to, int(ends[to - 1])
 
 
 def signatures(lines: list[str]) -> np.ndarray:
     """(line, minimum) for ROWS * BANDS hash functions."""
-    if not lines:
-        return np.zeros((0, ROWS * BANDS), np.uint32)
-    h, starts = _shingle_hashes(lines)
-    out = np.full((len(lines), ROWS * BANDS), 0xFFFFFFFF, np.uint32)
-    at = 0
-    while at < len(lines):
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + STEP)))
-        own = h[starts[at] : starts[to] if to < len(lines) else len(h)]
-        first = starts[at:to] - starts[at]
+    out = np.empty((ROWS * BANDS, len(lines)), np.uint32)
+    for at, to in _steps(lines, STEP):
+        h, first = _shingle_hashes(lines[at:to])
+        buf = np.empty(len(h), np.uint32)
         for j in range(ROWS * BANDS):
-            out[at:to, j] = np.minimum.reduceat(own * _A[j] + _B[j], first)
-        at = to
-    return out
+            np.multiply(h, _A[j], out=buf)
+            np.add(buf, _B[j], out=buf)
+            np.minimum.reduceat(buf, first, out=out[j, at:to])
+    return out.T
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
@@ -121,8 +196,7 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 
     Lines travel to the task of their hash in compressed blocks, once per block.
     """
-    spark = docs.sparkSession
-    n = common.parts(spark)
+    n = common.parts_for(docs.select("doc_id", "text"))
 
     def send(batches):
         pack = zstandard.ZstdCompressor(level=1)
@@ -186,7 +260,7 @@ def candidate_stars(lines: DataFrame) -> DataFrame:
 
     A task sends one entry per key; entries travel as packed arrays.
     """
-    n = common.parts(lines.sparkSession)
+    n = common.parts_for(lines)
 
     def send(batches):
         for ids, line in common.rows_of(batches, ("id", "line"), "line", 16 << 20):
@@ -230,85 +304,173 @@ def candidate_stars(lines: DataFrame) -> DataFrame:
 
 
 def _verify(similarity: float):
+    """Pairs of at least the similarity; rows may repeat a line, whose shingles are then cut once."""
+
     def run(batches):
         for batch in batches:
-            cols = [common.column(batch, c).to_pylist() for c in ("a", "b", "line_a", "line_b")]
-            a, b, last, sets = [], [], None, set()
-            for i, j, x, y in zip(*cols, strict=True):
-                if x is not last and x != last:
-                    last, sets = x, shingles(x)
-                other = shingles(y)
-                low, high = sorted((len(sets), len(other)))
-                if low >= similarity * high and jaccard(sets, other) >= similarity:
-                    a.append(i)
-                    b.append(j)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            ids = [common.column(batch, c).to_pylist() for c in ("a", "b")]
+            text = [common.column(batch, c).to_pylist() for c in ("line_a", "line_b")]
+            for at, to in _steps(text[1], HELD):
+                place = {x: k for k, x in enumerate(dict.fromkeys(text[0][at:to] + text[1][at:to]))}
+                sets = shingle_ids(list(place))
+                good = []
+                for k in range(at, to):
+                    x, y = sets[place[text[0][k]]], sets[place[text[1][k]]]
+                    low, high = sorted((len(x), len(y)))
+                    good.append(low >= similarity * high and (both := shared(x, y)) / (low + high - both) >= similarity)
+                keep = [[v for v, g in zip(own[at:to], good, strict=True) if g] for own in ids]
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in keep], names=["a", "b"])
 
     return run
 
 
-def close_pairs(lines: list[str], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def close_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """(i, j), i < j, of at least the similarity: all exact intersections of a few lines at once.
 
-    Shingles of one line only add to sizes; the others are columns of a matrix
-    of zeros and ones, whose product with itself counts what two lines share.
+    A shingle that several lines have is a column of a matrix of zeros and ones,
+    whose product with itself counts what two lines share. Shingles are taken
+    in slices, so that memory does not grow with the lines' length.
     """
-    sets = [shingles(x) for x in lines]
-    seen: dict[str, int] = {}
-    for own in sets:
-        for x in own:
-            seen[x] = seen.get(x, 0) + 1
-    column = {x: k for k, x in enumerate([x for x, n in seen.items() if n > 1])}
-    both = np.zeros((len(lines), len(lines)), np.float32)
-    held = [np.array([k for x in own if (k := column.get(x)) is not None], dtype=np.int64) for own in sets]
-    wide = min(len(column), 4096)
-    for at in range(0, len(column), 4096):
-        matrix = np.zeros((len(lines), wide), np.float32)
-        for i, own in enumerate(held):
-            matrix[i, (own if wide == len(column) else own[(own >= at) & (own < at + wide)]) - at] = 1
-        both += matrix @ matrix.T
+    n = len(sets)
     sizes = np.array([len(x) for x in sets], dtype=np.float64)
+    both = np.zeros((n, n), np.float32)
+    slices = -(-int(sizes.sum()) // SLICE)
+    for k in range(slices):
+        some = sets if slices == 1 else [x[x % np.uint64(slices) == k] for x in sets]
+        seen, column, count = np.unique(np.concatenate(some), return_inverse=True, return_counts=True)
+        several = count > 1
+        where = np.where(several, np.cumsum(several) - 1, -1)[column]
+        line = np.repeat(np.arange(n), [len(x) for x in some])[where >= 0]
+        where = where[where >= 0]
+        order = np.argsort(where, kind="stable")
+        line, where = line[order], where[order]
+        for at in range(0, int(several.sum()), 4096):
+            a, b = np.searchsorted(where, (at, at + 4096))
+            matrix = np.zeros((n, min(4096, int(several.sum()) - at)), np.float32)
+            matrix[line[a:b], where[a:b] - at] = 1
+            both += matrix @ matrix.T
     union = sizes[:, None] + sizes[None, :] - both
     return np.nonzero(np.triu(both / union >= similarity, 1))
 
 
+def close_pairs(lines: list[str], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j, of lines of at least the similarity."""
+    return close_sets(shingle_ids(lines), similarity)
+
+
 def _unit_links(similarity: float):
     """Links between members of different components, per unit; rows come sorted by unit."""
 
-    def links(rows) -> Iterator[tuple[int, int]]:
-        own = {i: (root, line) for i, root, line in rows}
-        members = list(own)
-        roots = {r: k for k, r in enumerate(dict.fromkeys(own[i][0] for i in members))}
-        if len(roots) < 2:
+    def links(ids: list[int], roots: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        known = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+        if len(known) < 2:
             return
-        uf = UnionFind(len(roots))
-        for x, y in zip(*(v.tolist() for v in close_pairs([own[i][1] for i in members], similarity)), strict=True):
-            if uf.union(roots[own[members[x]][0]], roots[own[members[y]][0]]):
-                yield members[x], members[y]
+        uf = UnionFind(len(known))
+        for x, y in zip(*(v.tolist() for v in close_sets(sets, similarity)), strict=True):
+            if uf.union(known[roots[x]], known[roots[y]]):
+                yield ids[x], ids[y]
 
     def run(batches):
-        unit, held = None, []
+        held: list[list] = [[], [], [], []]
+        size = 0
 
         def flush():
-            found = list(links(held))
+            unit, ids, roots, text = held
+            place = {x: k for k, x in enumerate(dict.fromkeys(text))}
+            sets = shingle_ids(list(place))
+            found, cuts = [], [i for i in range(len(unit)) if not i or unit[i] != unit[i - 1]]
+            for a, b in zip(cuts, [*cuts[1:], len(unit)], strict=True):
+                own = {i: k for k, i in enumerate(ids[a:b], a)}.values()
+                found += links([ids[k] for k in own], [roots[k] for k in own], [sets[place[text[k]]] for k in own])
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for u, i, root, line in zip(*(common.column(batch, c).to_pylist() for c in ("unit", "id", "root", "line")), strict=True):
-                if u != unit and held:
+            for row in zip(*(common.column(batch, c).to_pylist() for c in ("unit", "id", "root", "line")), strict=True):
+                # Several units at once, each whole.
+                if size > HELD and row[0] != held[0][-1]:
                     yield flush()
-                    held = []
-                unit = u
-                held.append((i, root, line))
-        if held:
+                    held, size = [[], [], [], []], 0
+                for own, v in zip(held, row, strict=True):
+                    own.append(v)
+                size += len(row[3])
+        if held[0]:
             yield flush()
 
     return run
 
 
+def _prefixes(similarity: float, common_shingles: tuple[np.ndarray, np.ndarray]):
+    """token, id, root: the rarest shingles of each line, of which two lines of the similarity share one.
+
+    Two sets of Jaccard similarity s share so much that the first
+    n - ceil(s n) + 1 members of either, in one order for all, cannot be disjoint.
+    The order is by the number in ``common_shingles`` (others: none), then by hash.
+    """
+    names, counts = common_shingles
+
+    def run(batches):
+        for ids, roots, line in common.rows_of(batches, ("id", "root", "line"), "line", 4 << 20):
+            text, names_of, root_of = line.to_pylist(), ids.to_numpy(), roots.to_numpy()
+            for at, to in _steps(text, HELD):
+                h, first = _wide_hashes(text[at:to])
+                token, owner, root = [], [], []
+                for k, own in enumerate(np.split(h, first[1:]), at):
+                    own = np.unique(own)
+                    if len(names):
+                        place = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                        own = own[np.argsort(np.where(names[place] == own, counts[place], 0), kind="stable")]
+                    own = own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
+                    token.append(own)
+                    owner.append(np.full(len(own), names_of[k]))
+                    root.append(np.full(len(own), root_of[k]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(root))], names=["key", "id", "root"])
+
+    return run
+
+
+def _frequent(batches):
+    """token, n: shingles that several of the lines hold, the most frequent ones first and at most ORDERED."""
+    own = [np.unique(x) for batch in batches for line in common.column(batch, "line").to_pylist() for x in [_wide_hashes([line])[0]]]
+    if own:
+        names, n = np.unique(np.concatenate(own), return_counts=True)
+        top = np.argsort(-n, kind="stable")[: min(ORDERED, int((n > 1).sum()))]
+        yield pa.RecordBatch.from_arrays([pa.array(names[top].view(np.int64)), pa.array(n[top].astype(np.int64))], names=["token", "n"])
+
+
+def _members_of_hot(hot: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
+    """key, id, root: members of large groups again, in groups of those that share a rare shingle.
+
+    A band that holds very many lines says that they share a passage. What a
+    line has beside it are its rare shingles; every two lines of the similarity
+    share one (see _prefixes), so no link is lost. The order of the shingles
+    comes from a few lines and decides about speed only.
+    """
+    lines = common.save(hot.select("id", "root").distinct().join(text, "id"), "hot")
+    few = lines.where(F.length("line") < LONG).orderBy(F.xxhash64("id")).limit(SAMPLE).select("line")
+    known = few.coalesce(1).mapInArrow(_frequent, "token bigint, n bigint").collect()  # at most ORDERED
+    names = np.array([r["token"] for r in known], dtype=np.int64).view(np.uint64)
+    order = np.argsort(names)
+    table = (names[order], np.array([r["n"] for r in known], dtype=np.int64)[order])
+    found = common.save(lines.mapInArrow(_prefixes(similarity, table), "key bigint, id bigint, root bigint"), "prefixes")
+    several = found.groupBy("key").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("open"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    # Shingles of one passage name the same lines: one of them stands for all.
+    one = several.where("open").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+    return found.join(one, "key").select("key", "n", "id", "root")
+
+
+def _units(members: DataFrame, text: DataFrame, group: int) -> DataFrame:
+    """unit, id, root, line: members (key, n, id, root) in units; those of a large group meet in every two of its parts."""
+    g = F.ceil(F.col("n") / F.lit(group)).cast("int")
+    dealt = members.withColumn("g", g).withColumn("own", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
+    unit = F.when(F.col("g") == 1, F.array(F.xxhash64("key"))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.xxhash64("key", F.least("own", j), F.greatest("own", j)))
+    )
+    return dealt.select("id", "root", F.explode(unit).alias("unit")).join(text, "id")
+
+
 def components(lines: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
     """node, root for every line id that is near another one."""
-    spark = lines.sparkSession
+    n = common.parts_for(lines)
     stars = candidate_stars(lines)
     pairs = stars.select("a", "b").distinct()
     # Texts of candidates only: the one time that lines are dealt by id.
@@ -336,16 +498,14 @@ def components(lines: DataFrame, similarity: float = SIMILARITY, group: int = GR
     split = common.save(groups.where("open = 1 and n > 1").groupBy("n", "least", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "split")
     rows = named.join(split, "key")
     members = rows.select("key", "n", F.col("a").alias("id"), F.col("ra").alias("root")).unionByName(rows.select("key", "n", F.col("b").alias("id"), F.col("rb").alias("root"))).distinct()
-    g = F.ceil((F.col("n") + 1) / F.lit(group)).cast("int")
-    dealt = members.withColumn("g", g).withColumn("own", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
-    unit = F.when(F.col("g") == 1, F.array(F.xxhash64("key"))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.xxhash64("key", F.least("own", j), F.greatest("own", j)))
-    )
-    units = dealt.select("id", "root", F.explode(unit).alias("unit")).join(text, "id")
-    more = (
-        units.repartition(common.parts(spark), "unit").sortWithinPartitions("unit").mapInArrow(_unit_links(similarity), "a bigint, b bigint")
-    )
+    units = _units(members.where(F.col("n") < group), text, group)
+    hot = members.where(F.col("n") >= group)
+    if not split.where(F.col("n") >= group).isEmpty():
+        units = units.unionByName(_units(_members_of_hot(hot, text, similarity), text, group))
+    more = units.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(_unit_links(similarity), "a bigint, b bigint")
     extra = common.save(more.distinct(), "extra")
+    for done in (stars, text, linked, split):
+        common.discard(done)
     if extra.isEmpty():
         return found
     return common.save(connected(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(extra)), "components")

@@ -111,6 +111,61 @@ def test_close_pairs():
     assert want and set(zip(*(v.tolist() for v in linededup.close_pairs(lines, 0.5)), strict=True)) == want
 
 
+@pytest.mark.parametrize("letters", ["ab ", "abcdefgh0123 é日", "".join(map(chr, range(0x4E00, 0x4E00 + 3000)))])
+def test_shingle_numbers(letters):
+    rnd = random.Random(5)
+    lines = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 40))) for _ in range(60)]
+    lines += [lines[0], "abc", "abc\0", lines[1][:-1], lines[2] + "x"]
+    sets, ids = [linededup.shingles(x) for x in lines], linededup.shingle_ids(lines)
+    assert [len(x) for x in ids] == [len(x) for x in sets]
+    for i in range(len(lines)):
+        for j in range(len(lines)):
+            assert linededup.shared(ids[i], ids[j]) == len(sets[i] & sets[j])
+
+
+def test_slices_of_a_comparison(monkeypatch):
+    rnd = random.Random(3)
+    lines = ["".join(rnd.choice("abc ") for _ in range(40)) for _ in range(30)]
+    want = [x.tolist() for x in linededup.close_pairs(lines, 0.01)]
+    monkeypatch.setattr(linededup, "SLICE", 100)
+    assert want[0] and [x.tolist() for x in linededup.close_pairs(lines, 0.01)] == want
+
+
+def test_line_dedup_of_a_template(spark):
+    """A large group of lines that share half of what they are: only the near ones among them are joined."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(9))
+    shape = [word() for _ in range(14)]
+    texts = []
+    for _ in range(150):
+        texts.append(" ".join(x + " " + word()[: 1 + i % 3] + word()[:5] for i, x in enumerate(shape)))
+    for i in range(0, 40, 2):
+        texts[i + 1] = texts[i][:60] + "zz" + texts[i][60:]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    lines = linededup.distinct_lines(df)
+    found = {r["node"]: r["root"] for r in linededup.components(lines, group=8).collect()}
+    place = {r["id"]: r["doc_id"] for r in lines.collect()}
+    want = {i: k for k, own in enumerate(brute_groups(texts)) for i in own}
+    got = {}
+    for i, d in place.items():
+        got.setdefault(found.get(i, i), []).append(d)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(i for i in want if want[i] == k) for k in set(want.values()))
+    assert len(got) == 130
+
+
+def brute_groups(texts):
+    uf, sets = UnionFind(len(texts)), [linededup.shingles(linededup.normal(t)) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if linededup.jaccard(sets[i], sets[j]) >= linededup.SIMILARITY:
+                uf.union(i, j)
+    out = {}
+    for i in range(len(texts)):
+        out.setdefault(uf.find(i), []).append(i)
+    return list(out.values())
+
+
 def brute_spans(rows, length=suffixdedup.LENGTH):
     data = [(i, (t or "").encode()) for i, t, *_ in rows if i is not None]
     first = {}
