@@ -12,7 +12,7 @@ those of at least ``SIMILARITY``. Groups that still hold members of several
 components are then looked at again, member against member of another
 component, in units of at most 2 * ``GROUP`` members, so that a link between
 two members which both differ from the smallest one is not lost. Members of
-groups above ``GROUP``, as lines made from one template are, first go into
+groups with very many components, as lines made from one template are, first go into
 groups of those that share one of their rarest shingles: two lines of the
 similarity must, so lines that only share the template are not compared.
 
@@ -30,6 +30,7 @@ from __future__ import annotations
 import math
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,10 @@ BANDS = 14
 SIMILARITY = 0.8
 #: Fills up short lines; no text holds a surrogate.
 PAD = "\udfff"
-#: Members of a group that are compared with each other at once; larger groups are first split by rare shingles.
+#: Members of a group that are compared with each other at once.
 GROUP = 256
+#: Blocks of GROUP members outside the largest component from which on a group is split by rare shingles.
+MANY = 16
 #: Characters of lines whose shingles a task holds, and shingles that one comparison of a group takes at a time.
 HELD = 1 << 20
 SLICE = 1 << 21
@@ -195,6 +198,8 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     """id, line, doc_id, pos: every distinct line that is not blank, with its first place.
 
     Lines travel to the task of their hash in compressed blocks, once per block.
+    Ids are smaller the more often a line comes: of a group of near copies the
+    original, which most others are near, tends to have the smallest.
     """
     n = common.parts_for(docs.select("doc_id", "text"))
 
@@ -202,36 +207,40 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1)
         for ids, text in common.rows_of(batches, ("doc_id", "text"), "text", 16 << 20):
             first: dict[str, tuple[int, int]] = {}
+            times: dict[str, int] = {}
             for doc_id, t in zip(ids.to_pylist(), text.to_pylist(), strict=True):
                 for pos, line in enumerate(t.split("\n")):
                     line = normal(line)
-                    if line and ((place := (doc_id, pos)) < first.get(line, (1 << 63, 0))):
-                        first[line] = place
-            dealt: dict[int, list[tuple[bytes, tuple[int, int]]]] = {}
+                    if line:
+                        times[line] = times.get(line, 0) + 1
+                        if (place := (doc_id, pos)) < first.get(line, (1 << 63, 0)):
+                            first[line] = place
+            dealt: dict[int, list[tuple[bytes, tuple[int, int, int]]]] = {}
             for line, place in first.items():
                 raw = line.encode("utf-8", "surrogatepass")
-                dealt.setdefault(xxhash.xxh32_intdigest(raw) % n, []).append((raw, place))
-            rows = [(k, pack.compress(b"\n".join(x for x, _ in own)), struct.pack(f"<{2 * len(own)}q", *[v for _, p in own for v in p])) for k, own in dealt.items()]
+                dealt.setdefault(xxhash.xxh32_intdigest(raw) % n, []).append((raw, (*place, times[line])))
+            rows = [(k, pack.compress(b"\n".join(x for x, _ in own)), pack.compress(struct.pack(f"<{3 * len(own)}q", *[v for _, p in own for v in p]))) for k, own in dealt.items()]
             cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["bucket", "lines", "places"])
 
     def gather(batches):
         part = TaskContext.get().partitionId()
-        first: dict[bytes, tuple[int, int]] = {}
+        first: dict[bytes, tuple[int, int, int]] = {}
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for lines, places in zip(common.column(batch, "lines").to_pylist(), common.column(batch, "places").to_pylist(), strict=True):
-                flat = struct.unpack(f"<{len(places) // 8}q", places)
-                for i, line in enumerate(unpack.decompress(lines).split(b"\n")):
-                    place = flat[2 * i], flat[2 * i + 1]
-                    if place < first.get(line, (1 << 63, 0)):
-                        first[line] = place
+                flat = np.frombuffer(unpack.decompress(places), np.int64).reshape(-1, 3).tolist()
+                for line, (doc_id, pos, times) in zip(unpack.decompress(lines).split(b"\n"), flat, strict=True):
+                    if held := first.get(line):
+                        first[line] = (*min(held[:2], (doc_id, pos)), held[2] + times)
+                    else:
+                        first[line] = doc_id, pos, times
         own = list(first.items())
         for i in range(0, len(own), 20_000):
             some = own[i : i + 20_000]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(i, i + len(some)) + (part << 40), pa.int64()),
+                    pa.array(np.arange(i, i + len(some)) + (part << 36) + np.array([max(0, 64 - p[2].bit_length()) << 56 for _, p in some]), pa.int64()),
                     pa.array([x.decode("utf-8", "surrogatepass") for x, _ in some], pa.string()),
                     pa.array([p[0] for _, p in some], pa.int64()),
                     pa.array([p[1] for _, p in some], pa.int64()),
@@ -458,17 +467,36 @@ def _members_of_hot(hot: DataFrame, text: DataFrame, similarity: float) -> DataF
     return found.join(one, "key").select("key", "n", "id", "root")
 
 
-def _units(members: DataFrame, text: DataFrame, group: int) -> DataFrame:
-    """unit, id, root, line: members (key, n, id, root) in units; those of a large group meet in every two of its parts."""
-    g = F.ceil(F.col("n") / F.lit(group)).cast("int")
-    dealt = members.withColumn("g", g).withColumn("own", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
-    unit = F.when(F.col("g") == 1, F.array(F.xxhash64("key"))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.xxhash64("key", F.least("own", j), F.greatest("own", j)))
-    )
-    return dealt.select("id", "root", F.explode(unit).alias("unit")).join(text, "id")
-
+def _units(members: DataFrame, text: DataFrame, similarity: float, group: int, many: int) -> DataFrame:
+    """unit, id, root, line: members (key, n, id, root) in units of those to compare with each other.
 
-def components(lines: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
+    A group of at most ``group`` members is a unit. Of a larger one, those
+    outside its largest component meet all members, in blocks of both; if they
+    are more than ``many`` blocks, members are regrouped by rare shingles first.
+    """
+    small = members.where(F.col("n") < group).select(F.xxhash64("key").alias("unit"), "id", "root")
+    large = members.where(F.col("n") >= group)
+    if large.isEmpty():
+        return small.join(text, "id")
+    per_root = large.groupBy("key", "root").agg(F.count("*").alias("m"))
+    blocks = lambda x: F.ceil(x / F.lit(group)).cast("int")
+    sizes = per_root.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), blocks(F.sum("m")).alias("gm"), blocks(F.sum("m") - F.max("m")).alias("gq"))
+    large = common.save(large.join(sizes, "key"), "large")
+    parts = [small]
+    of = lambda g: F.pmod(F.xxhash64("id"), g)
+    meets = F.when(F.col("root") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("gm") - 1), lambda i: F.xxhash64("key", i.cast("bigint"), of(F.col("gq")))))
+    held = F.transform(F.sequence(F.lit(0), F.col("gq") - 1), lambda j: F.xxhash64("key", of(F.col("gm")), j.cast("bigint")))
+    none = F.array().cast("array<bigint>")
+    direct = large.where(F.col("gq") <= many) if many else large
+    parts.append(direct.select(F.explode(F.array_distinct(F.concat(held, F.coalesce(meets, none)))).alias("unit"), "id", "root"))
+    units = reduce(DataFrame.unionByName, parts).join(text, "id")
+    hot = large.where(F.col("gq") > many)
+    if many and not hot.isEmpty():
+        units = units.unionByName(_units(common.save(_members_of_hot(hot, text, similarity), "members"), text, similarity, group, 0))
+    return units
+
+
+def components(lines: DataFrame, similarity: float = SIMILARITY, group: int = GROUP, many: int = MANY) -> DataFrame:
     """node, root for every line id that is near another one."""
     n = common.parts_for(lines)
     stars = candidate_stars(lines)
@@ -498,10 +526,7 @@ def components(lines: DataFrame, similarity: float = SIMILARITY, group: int = GR
     split = common.save(groups.where("open = 1 and n > 1").groupBy("n", "least", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "split")
     rows = named.join(split, "key")
     members = rows.select("key", "n", F.col("a").alias("id"), F.col("ra").alias("root")).unionByName(rows.select("key", "n", F.col("b").alias("id"), F.col("rb").alias("root"))).distinct()
-    units = _units(members.where(F.col("n") < group), text, group)
-    hot = members.where(F.col("n") >= group)
-    if not split.where(F.col("n") >= group).isEmpty():
-        units = units.unionByName(_units(_members_of_hot(hot, text, similarity), text, group))
+    units = _units(common.save(members, "members"), text, similarity, group, many)
     more = units.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(_unit_links(similarity), "a bigint, b bigint")
     extra = common.save(more.distinct(), "extra")
     for done in (stars, text, linked, split):

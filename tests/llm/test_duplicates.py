@@ -131,7 +131,8 @@ def test_slices_of_a_comparison(monkeypatch):
     assert want[0] and [x.tolist() for x in linededup.close_pairs(lines, 0.01)] == want
 
 
-def test_line_dedup_of_a_template(spark):
+@pytest.mark.parametrize("many", [1, 1000])
+def test_line_dedup_of_a_template(spark, many):
     """A large group of lines that share half of what they are: only the near ones among them are joined."""
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(9))
@@ -144,7 +145,7 @@ def test_line_dedup_of_a_template(spark):
     rows = [(i, t, "en") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     lines = linededup.distinct_lines(df)
-    found = {r["node"]: r["root"] for r in linededup.components(lines, group=8).collect()}
+    found = {r["node"]: r["root"] for r in linededup.components(lines, group=8, many=many).collect()}
     place = {r["id"]: r["doc_id"] for r in lines.collect()}
     want = {i: k for k, own in enumerate(brute_groups(texts)) for i in own}
     got = {}
