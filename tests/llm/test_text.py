@@ -375,6 +375,52 @@ def test_neighbours(spark, nothing):
     assert ann.nearest(few.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def exact(ids, vecs, q, k=5):
+    scaled = [np.array(v, dtype=np.float64) / np.abs(v).max() for v in vecs]
+    cos = np.array([(x * scaled[q]).sum() / math.sqrt((x * x).sum()) / math.sqrt((scaled[q] ** 2).sum()) for x in scaled])
+    order = [i for i in np.lexsort((ids, -cos)) if ids[i] != ids[q]][:k]
+    return [(int(ids[i]), float(cos[i])) for i in order]
+
+
+@pytest.mark.parametrize("block", [40, 10_000])
+def test_neighbours_of_any_size_and_many_copies(spark, block):
+    rng = np.random.default_rng(3)
+    vecs = rng.normal(size=(400, 12))
+    vecs[:60] *= 1e200
+    vecs[60:120] *= 1e-200
+    vecs[120:125] *= 5e-310 / np.abs(vecs[120:125]).max()
+    vecs[200:330] = vecs[200]  # a third of all rows are one vector
+    data = [(i, v.tolist()) for i, v in enumerate(vecs)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(data, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 10 == 0, block=block).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 400, 10))
+    hits = 0
+    for q, own in got.items():
+        want = exact(np.arange(400), vecs, q)
+        own.sort()
+        hits += len({x[1] for x in own} & {i for i, _ in want})
+        assert all(abs(s - dict(exact(np.arange(400), vecs, q, 399))[i]) < 1e-9 for _, i, s in own)
+        if 200 <= q < 330:
+            assert [x[1] for x in own] == [i for i in range(200, 207) if i != q][:5]
+    assert hits >= 0.95 * 5 * len(got)
+
+
+def test_regions_are_skipped_and_nothing_near_is_lost(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 32)) * 5
+    vecs = np.concatenate([centres + rng.normal(size=(40, 32)) * 0.2 for _ in range(50)])
+    block = ann.Block(np.arange(2000), vecs, 5)
+    met = block.tree.distances(block.unit[:50] @ block.matrix)
+    who, name, score = block.search(np.arange(0, 2000, 50), vecs[::50])
+    hits = sum(len(set(name[who == i].tolist()) & {j for j, _ in exact(np.arange(2000), vecs, 50 * i)}) for i in range(40))
+    assert hits >= 0.95 * 200 and met.shape[1] >= 4
+    few = block.search(np.arange(0, 2000, 50), vecs[::50], np.full(40, 0.9999999))[2]
+    assert len(few) < len(score)
+    tree = ann.Regions(block.unit @ block.matrix, 4)
+    assert np.bincount(tree(block.unit @ block.matrix), minlength=16).max() <= 2 * 2000 / 16
+
+
 def test_chi_square_quantiles():
     # Published table values.
     assert abs(ann.chi_square_quantile(0.95, 8) - 15.507) < 1e-3 and abs(ann.chi_square_quantile(0.9, 2) - 4.605) < 1e-3
