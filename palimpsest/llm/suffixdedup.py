@@ -10,9 +10,14 @@ neighbours give, for each string, the smallest document it starts in.
 
 Documents are dealt to units by hash. A unit asks in two rounds, each key once
 per unit however often it occurs there: (a) which anchors also occur in another
-document; (b) for contexts of these, the smallest document of each string. The
-answers are exact: only equal bytes count. A key that a third of all rows hold
-thus makes as many requests as there are units, never as many as rows.
+document; (b) for contexts of these, the smallest document of each string. Only
+equal bytes count between units; a unit finds its own contexts and strings again
+by 64-bit hashes. A key that a third of all rows hold thus makes as many
+requests as there are units, never as many as rows.
+
+A k-gram that occurs more than ``HOT`` times, as a separator does, may stand in
+as many different contexts. Its strings are asked for one by one, dealt by all
+of their bytes, so no task sorts more than ``HOT`` contexts around one k-gram.
 
 Defined results: null text counts as empty; texts under LENGTH bytes lose
 nothing; rows that share a doc_id do not remove each other's bytes; rows
@@ -47,6 +52,10 @@ PLACE_BITS = 22
 #: Depth of multikey quicksort in words of eight bytes, and groups that go to a trie at once.
 SHALLOW = 3
 SMALL = 48
+#: Occurrences of a k-gram beyond which its strings are dealt by their own bytes.
+HOT = 4096
+#: Contexts whose strings are cut out at a time.
+CUT = 20_000
 
 _MUL = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(50).integers(1, 2**63, 256, dtype=np.uint64)
@@ -217,6 +226,16 @@ class Runs:
         shape = ((self.place - a) * 128 + (b - a)).astype(np.uint64)
         return _mix(h * _power(1) + _mix(shape + np.uint64(1)))
 
+    def string_hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor, start, 64-bit hash) of every string of the anchors."""
+        weights, back = _weights()
+        prefix = np.zeros(len(self.buf) + 1, np.uint64)
+        prefix[1:] = np.cumsum(_BYTE[self.buf] * weights[: len(self.buf)], dtype=np.uint64)
+        many = self.last - self.first + 1
+        who = np.repeat(np.arange(len(many)), many)
+        start = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many) + self.first[who]
+        return who, start, _mix((prefix[start + LENGTH] - prefix[start]) * back[start])
+
     def contexts(self, which: np.ndarray) -> np.ndarray:
         """(anchor, WIDTH) bytes with the k-gram at SPAN - 1, PAD outside its strings."""
         at = self.place[which, None] - (SPAN - 1) + np.arange(WIDTH)
@@ -224,6 +243,40 @@ class Runs:
         return np.where(there, self.buf[np.clip(at, 0, len(self.buf) - 1)], PAD).astype(np.uint8)
 
 
+def strings_of(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, offset, 64-bit hash) of every string in contexts; hashes as of Runs.string_hashes."""
+    weights = _weights()[0][:LENGTH]
+    rows, offsets, hashes = [], [], []
+    for at in range(0, len(contexts), CUT):
+        own = contexts[at : at + CUT]
+        real = own != PAD
+        lead, end = real.argmax(axis=1), WIDTH - real[:, ::-1].argmax(axis=1)
+        for o in range(SPAN):
+            some = np.flatnonzero((lead <= o) & (o + LENGTH <= end))
+            if len(some):
+                rows.append(some + at)
+                offsets.append(np.full(len(some), o, np.int64))
+                hashes.append(_mix((_BYTE[own[some, o : o + LENGTH]] * weights).sum(axis=1, dtype=np.uint64)))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(rows), np.concatenate(offsets), np.concatenate(hashes)
+
+
+def string_minima(strings: np.ndarray, names: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each string (n, LENGTH), the smallest document of those that are equal; equal strings have equal names."""
+    order = np.argsort(names, kind="stable")
+    same = names[order[1:]] == names[order[:-1]]
+    equal = (strings[order[1:]] == strings[order[:-1]]).all(axis=1)
+    if (same & ~equal).any():  # two strings of one name: by bytes as well
+        order = np.lexsort((*strings.T[::-1], names))
+        equal = (strings[order[1:]] == strings[order[:-1]]).all(axis=1)
+    head = np.concatenate([[True], ~equal])
+    least = np.minimum.reduceat(docs[order], np.flatnonzero(head))
+    out = np.empty(len(order), np.int64)
+    out[order] = least[np.cumsum(head) - 1]
+    return out
+
+
 def window_minima(contexts: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, offset, smallest document) of every string in contexts around the same k-grams."""
     n = len(contexts)
@@ -318,7 +371,7 @@ def _packed(docs: DataFrame, n: int) -> DataFrame:
             rows = []
             for own in np.split(order, cuts):
                 flat = [buf[off[i] : off[i + 1]] for i in own.tolist()]
-                rows.append((int(units[own[0]]), 1, _pack(names[own], sizes[own], np.concatenate(flat))))
+                rows.append((int(units[own[0]]), BLOCK, _pack(names[own], sizes[own], np.concatenate(flat))))
             yield _batch(rows)
 
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), common.utf8("text").alias("text")).where("doc_id is not null")
@@ -368,23 +421,32 @@ def _answered(packed: DataFrame, answers: DataFrame | None, n: int) -> DataFrame
     return both.repartitionById(n, F.col("unit")).sortWithinPartitions("unit", "kind")
 
 
-def _per_unit(batches, types: tuple[str, ...]):
-    """(unit, answers, blocks): answers as lists of arrays, blocks lazily; rows come sorted."""
-    unit, answers, blocks = None, [], []
+#: Kinds of rows: about strings, about contexts (and k-grams), and documents, in the order in which a unit meets them.
+STRINGS, CONTEXTS, BLOCK = -1, 0, 1
+
 
+def _per_unit(batches):
+    """(unit, what it was told by kind, blocks); rows come sorted."""
+    unit, told, blocks = None, {STRINGS: [], CONTEXTS: []}, []
     for u, kind, payload in _rows(batches):
         if u != unit and unit is not None:
-            yield unit, answers, blocks
-            answers, blocks = [], []
+            yield unit, told, blocks
+            told, blocks = {STRINGS: [], CONTEXTS: []}, []
         unit = u
-        (blocks if kind else answers).append(payload if kind else _unpack(payload, *types))
+        (blocks if kind == BLOCK else told[kind]).append(payload)
     if unit is not None:
-        yield unit, answers, blocks
+        yield unit, told, blocks
+
+
+def _columns(payloads: list[bytes], *types: str) -> list[np.ndarray]:
+    """The arrays of all payloads, one after another."""
+    parts = [_unpack(x, *types) for x in payloads]
+    return [np.concatenate([x[i] for x in parts]) if parts else np.zeros(0, t if t != "?" else bool) for i, t in enumerate(types)]
 
 
 def _ask_grams(n: int):
     def run(batches):
-        for unit, _, blocks in _per_unit(batches, ()):
+        for unit, _, blocks in _per_unit(batches):
             grams, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for block in blocks:
                 for ids, buf, off, _ in _steps(block):
@@ -398,6 +460,7 @@ def _ask_grams(n: int):
             head[1:] = grams[1:] != grams[:-1]
             starts = np.flatnonzero(head)
             several = np.minimum.reduceat(owners, starts) != np.maximum.reduceat(owners, starts) if len(starts) else np.zeros(0, bool)
+            times = np.diff(np.append(starts, len(grams))).astype(np.uint32)
             grams = grams[starts]
             to = (grams % np.uint64(n)).astype(np.int64)
             by = np.argsort(to, kind="stable")
@@ -406,34 +469,43 @@ def _ask_grams(n: int):
             for k in range(n):
                 own = by[cuts[k] : cuts[k + 1]]
                 if len(own):
-                    rows.append((k, 0, _pack(np.array([unit]), grams[own], several[own])))
+                    rows.append((k, CONTEXTS, _pack(np.array([unit]), grams[own], several[own], times[own])))
             yield _batch(rows)
 
     return run
 
 
-def _answer_grams(batches):
-    for _, asked, _ in _per_unit(batches, ("<i8", "<u8", "?")):
-        grams = np.concatenate([g for _, g, _ in asked])
-        several = np.concatenate([s for _, _, s in asked])
-        order = np.argsort(grams, kind="stable")
-        same = grams[order][1:] == grams[order][:-1]
-        several = several.copy()
-        several[order[1:][same]] = True
-        several[order[:-1][same]] = True
-        at, rows = 0, []
-        for unit, g, _ in asked:
-            own = several[at : at + len(g)]
-            at += len(g)
-            if own.any():
-                rows.append((int(unit[0]), 0, _pack(g[own])))
-        yield _batch(rows)
+def _answer_grams(hot: int):
+    """Which of the k-grams also occur in another document, and which of them more than ``hot`` times."""
+
+    def run(batches):
+        for _, told, _ in _per_unit(batches):
+            asked = [_unpack(x, "<i8", "<u8", "?", "<u4") for x in told[CONTEXTS]]
+            grams, several, times = (np.concatenate([a[i] for a in asked]) for i in (1, 2, 3))
+            order = np.argsort(grams, kind="stable")
+            head = np.ones(len(order), dtype=bool)
+            head[1:] = grams[order][1:] != grams[order][:-1]
+            starts, group = np.flatnonzero(head), np.cumsum(head) - 1
+            shared = np.add.reduceat(several[order] + 1, starts) > 1
+            often = np.add.reduceat(times[order].astype(np.int64), starts) > hot
+            flag = np.empty((2, len(order)), dtype=bool)
+            flag[:, order] = shared[group], often[group]
+            at, rows = 0, []
+            for unit, g, *_ in asked:
+                own, much = flag[:, at : at + len(g)]
+                at += len(g)
+                if own.any():
+                    rows.append((int(unit[0]), CONTEXTS, _pack(g[own], much[own])))
+            yield _batch(rows)
+
+    return run
 
 
 def _ask_contexts(n: int):
     def run(batches):
-        for unit, answers, blocks in _per_unit(batches, ("<u8",)):
-            shared = np.sort(np.concatenate([a[0] for a in answers])) if answers else np.zeros(0, np.uint64)
+        for unit, told, blocks in _per_unit(batches):
+            shared, often = _columns(told[CONTEXTS], "<u8", "?")
+            hot, shared = np.sort(shared[often]), np.sort(shared)
             hashes, docs, grams, contexts = [], [], [], []
             seen = np.zeros(0, np.uint64)
             for block in blocks:
@@ -460,61 +532,112 @@ def _ask_contexts(n: int):
             by_name = np.argsort(names, kind="stable")  # the order of h[order][starts]
             gram, context = np.concatenate([g for _, g in grams])[by_name], np.concatenate(contexts)[by_name]
             names = names[by_name]
+            split = _among(gram, hot)
             to = (gram % np.uint64(n)).astype(np.int64)
             rows = []
-            for k in np.unique(to).tolist():
-                own = np.flatnonzero(to == k)
+            for k in np.unique(to[~split]).tolist():
+                own = np.flatnonzero((to == k) & ~split)
                 own = own[np.argsort(gram[own], kind="stable")]  # like contexts side by side
-                rows.append((k, 0, _pack(np.array([unit]), names[own], least[own], most[own] > least[own], context[own])))
+                rows.append((k, CONTEXTS, _pack(np.array([unit]), names[own], least[own], most[own] > least[own], context[own])))
+            if split.any():
+                rows += _ask_strings(unit, n, *(x[split] for x in (gram, context, least, most)))
             yield _batch(rows)
 
     return run
 
 
+def _ask_strings(unit: int, n: int, gram: np.ndarray, context: np.ndarray, least: np.ndarray, most: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Requests for the strings of contexts, each once, dealt by their hash."""
+    row, offset, name = strings_of(context)
+    order = np.argsort(name, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]]))
+    low, high = np.minimum.reduceat(least[row[order]], starts), np.maximum.reduceat(most[row[order]], starts)
+    one = order[starts]
+    row, offset, name = row[one], offset[one], name[one]
+    to = (name % np.uint64(n)).astype(np.int64)
+    out = []
+    for k in np.unique(to).tolist():
+        own = np.flatnonzero(to == k)
+        own = own[np.lexsort((offset[own], row[own]))]  # strings that overlap side by side
+        strings = context[row[own, None], offset[own, None] + np.arange(LENGTH)]
+        out.append((k, STRINGS, _pack(np.array([unit]), name[own], gram[row[own]], low[own], high[own] > low[own], strings)))
+    return out
+
+
 def _answer_contexts(batches):
-    for _, asked, _ in _per_unit(batches, ("<i8", "<u8", "<i8", "?", "u1")):
-        names = np.concatenate([a[1] for a in asked])
-        docs = np.concatenate([a[2] for a in asked])
-        several = np.concatenate([a[3] for a in asked])
-        contexts = np.concatenate([a[4] for a in asked]).reshape(-1, WIDTH)
-        row, offset, least = window_minima_by_gram(contexts, docs)
-        use = several[row] | (least < docs[row])
-        row, offset, least = row[use], offset[use], least[use]
-        head = np.ones(len(row), dtype=bool)
-        head[1:] = (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1) | (least[1:] != least[:-1])
-        starts = np.flatnonzero(head)
-        sizes = np.diff(np.concatenate([starts, [len(row)]]))
-        row, offset, least = row[starts], offset[starts], least[starts]
-        ends = np.cumsum([len(a[1]) for a in asked])
-        cuts = np.concatenate([[0], np.searchsorted(row, ends)])
+    for _, told, _ in _per_unit(batches):
         out = []
-        for k, a in enumerate(asked):
-            own = slice(cuts[k], cuts[k + 1])
-            if cuts[k] < cuts[k + 1]:
-                out.append((int(a[0][0]), 0, _pack(names[row[own]], offset[own].astype(np.uint8), sizes[own].astype(np.uint8), least[own])))
+        if told[STRINGS]:
+            asked = [_unpack(x, "<i8", "<u8", "<u8", "<i8", "?", "u1") for x in told[STRINGS]]
+            names, grams, docs, several, strings = (np.concatenate([a[i] for a in asked]) for i in range(1, 6))
+            least = string_minima(strings.reshape(-1, LENGTH), names, docs)
+            use, at = several | (least < docs), 0
+            for a in asked:
+                own = np.flatnonzero(use[at : at + len(a[1])]) + at
+                at += len(a[1])
+                if len(own):
+                    out.append((int(a[0][0]), STRINGS, _pack(names[own], grams[own], least[own])))
+        if told[CONTEXTS]:
+            out += _answer_runs([_unpack(x, "<i8", "<u8", "<i8", "?", "u1") for x in told[CONTEXTS]])
         yield _batch(out)
 
 
+def _answer_runs(asked: list[list[np.ndarray]]) -> list[tuple[int, int, bytes]]:
+    names = np.concatenate([a[1] for a in asked])
+    docs = np.concatenate([a[2] for a in asked])
+    several = np.concatenate([a[3] for a in asked])
+    contexts = np.concatenate([a[4] for a in asked]).reshape(-1, WIDTH)
+    row, offset, least = window_minima_by_gram(contexts, docs)
+    use = several[row] | (least < docs[row])
+    row, offset, least = row[use], offset[use], least[use]
+    head = np.ones(len(row), dtype=bool)
+    head[1:] = (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1) | (least[1:] != least[:-1])
+    starts = np.flatnonzero(head)
+    sizes = np.diff(np.concatenate([starts, [len(row)]]))
+    row, offset, least = row[starts], offset[starts], least[starts]
+    ends = np.cumsum([len(a[1]) for a in asked])
+    cuts = np.concatenate([[0], np.searchsorted(row, ends)])
+    out = []
+    for k, a in enumerate(asked):
+        own = slice(cuts[k], cuts[k + 1])
+        if cuts[k] < cuts[k + 1]:
+            out.append((int(a[0][0]), CONTEXTS, _pack(names[row[own]], offset[own].astype(np.uint8), sizes[own].astype(np.uint8), least[own])))
+    return out
+
+
 _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 
 
 def _finish(keep_bytes: bool):
     def run(batches):
-        for _, answers, blocks in _per_unit(batches, ("<u8", "u1", "u1", "<i8")):
-            if answers:
-                names, offset, size, least = (np.concatenate(x) for x in zip(*answers, strict=True))
-                order = np.argsort(names, kind="stable")
-                names, offset, size, least = names[order], offset[order].astype(np.int64), size[order].astype(np.int64), least[order]
-            else:
-                names = np.zeros(0, np.uint64)
+        for _, told, blocks in _per_unit(batches):
+            names, offset, size, least = _columns(told[CONTEXTS], "<u8", "u1", "u1", "<i8")
+            order = np.argsort(names, kind="stable")
+            names, offset, size, least = names[order], offset[order].astype(np.int64), size[order].astype(np.int64), least[order]
+            string, hot, string_least = _columns(told[STRINGS], "<u8", "<u8", "<i8")
+            order, hot = np.argsort(string, kind="stable"), np.unique(hot)
+            string, string_least = string[order], string_least[order]
             for block in blocks:
                 ids, sizes, buf = _unpack(block, "<i8", "<i8", "u1")
                 off = np.concatenate([[0], np.cumsum(sizes)])
                 cover = np.zeros(len(buf) + 1, np.int32)
-                for owner, part, part_off, place in _steps(block) if len(names) else ():
+                for owner, part, part_off, place in _steps(block) if len(names) or len(string) else ():
                     runs = Runs(part, part_off)
                     if not len(runs.gram):
                         continue
+                    split = _among(runs.gram, hot)
+                    if split.any():
+                        one = Runs(part, part_off)
+                        one.keep(split)
+                        who, start, h = one.string_hashes()
+                        at = np.minimum(np.searchsorted(string, h), len(string) - 1)
+                        earlier = (string[at] == h) & (string_least[at] < owner[one.doc[who]])
+                        who, start = who[earlier], start[earlier]
+                        start = start + place[one.doc[who]] - part_off[one.doc[who]]
+                        np.add.at(cover, start, 1)
+                        np.add.at(cover, start + LENGTH, -1)
+                    if not len(names):
+                        continue
                     h = runs.context_hashes()
                     low, high = np.searchsorted(names, h, side="left"), np.searchsorted(names, h, side="right")
                     many = high - low
@@ -540,15 +663,15 @@ def _finish(keep_bytes: bool):
     return run
 
 
-def dedup(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, keep_bytes: bool = True, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes, per row."""
     spark = docs.sparkSession
     common.ship(spark)
-    n = common.parts(spark)
+    n = common.parts_for(docs.select("doc_id", "text"))
     packed = _packed(docs, n)
     deal = lambda df: df.repartitionById(n, F.col("unit")).sortWithinPartitions("unit", "kind")
     asked = _answered(packed, None, n).mapInArrow(_ask_grams(n), _ROWS)
-    shared = common.save(deal(asked).mapInArrow(_answer_grams, _ROWS), "shared")
+    shared = common.save(deal(asked).mapInArrow(_answer_grams(hot), _ROWS), "shared")
     asked = _answered(packed, shared, n).mapInArrow(_ask_contexts(n), _ROWS)
     least = common.save(deal(asked).mapInArrow(_answer_contexts, _ROWS), "least")
     common.discard(shared)

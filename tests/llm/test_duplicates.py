@@ -210,6 +210,22 @@ def test_suffix_dedup_edges(spark, nothing):
     assert got == [(-1, 200, 0), (2, 200, 0), (3, 200, 200), (3, 200, 200), (5, 0, 0), (6, 0, 0)]
 
 
+@pytest.mark.parametrize("hot", [0, 5])
+def test_suffix_dedup_of_frequent_grams(spark, docs, rows, hot):
+    """Strings around k-grams that occur often are dealt by their own bytes, with the same result."""
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    get = lambda df, **kw: sorted(tuple(r) for r in suffixdedup.dedup(df, keep_bytes=False, **kw).select(*columns).collect())
+    assert get(docs, hot=hot) == get(docs)
+    rnd = random.Random(9)
+    some = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    line, block = "=" * 70, some(33)
+    texts = [some(60) + rnd.choice([line, line[:30], block, "-" * 16]) + some(20) + rnd.choice([line, block + some(9)]) for _ in range(60)]
+    texts += texts[3:5] + [texts[7][20:90]]
+    own = [(i, t) for i, t in enumerate(texts)]
+    want = [(i, n, gone, spans, sha) for i, n, gone, spans, sha, _ in sorted(brute_spans(own))]
+    assert get(spark.createDataFrame(own, "doc_id bigint, text string"), hot=hot) == want and any(x[2] for x in want)
+
+
 def test_suffix_dedup_of_texts_over_a_step(monkeypatch):
     rnd = random.Random(1)
     monkeypatch.setattr(suffixdedup, "STEP", 300)
