@@ -113,6 +113,16 @@ def parts_for(df: DataFrame, most_bytes: int = 16 << 20) -> int:
     return max(parts(df.sparkSession), min(-(-size // most_bytes), 1 << 20) if size < 1 << 60 else 1)
 
 
+def within(sizes: Iterable[tuple[int, int]], most_bytes: int) -> list[int]:
+    """Keys of (key, bytes), in the given order, whose bytes together stay within a bound; one too large is passed over."""
+    kept, held = [], 0
+    for key, size in sizes:
+        if held + size <= most_bytes:
+            held += size
+            kept.append(key)
+    return kept
+
+
 def worker_state(kind: str, key: str, make):
     """Per-process object that outlives one task; Python workers are reused.
 

@@ -29,6 +29,7 @@ give no rows or no matches; other columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from itertools import repeat
 
 import numpy as np
@@ -42,8 +43,9 @@ from palimpsest.llm import common
 WINDOW = 8
 LITERALS = 4
 RUN = 6
-#: Benchmark windows up to this number are sent to the tasks as a filter (8 bytes each); beyond it all windows are shuffled.
-MOST_SENT = 2_000_000
+#: Bits of the filter of benchmark windows that all tasks get, whatever their number, and of one row of it.
+FILTER_BITS = 27
+ROW_BITS = 15
 CACHE_WORDS = 400_000
 
 # Unit words (fixed values).
@@ -207,29 +209,61 @@ def item_windows(items: DataFrame) -> DataFrame:
     return given.mapInArrow(run, _SCHEMA)
 
 
-def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
-    """Windows of documents; only those in ``wanted`` (sorted hashes) if it is given."""
+def filter_rows(bench: DataFrame) -> DataFrame:
+    """block, bits: the parts of a bitmap of FILTER_BITS places, one for the last bits of every window's hash."""
+
+    def pack(batches):
+        held, bits = None, None
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
+
+        for batch in batches:
+            block, low = common.column(batch, "block").to_numpy(), common.column(batch, "low").to_numpy()
+            cuts = np.flatnonzero(np.diff(block)) + 1
+            for own, places in zip(np.split(block, cuts), np.split(low, cuts), strict=True):
+                if len(own) and own[0] != held:
+                    if held is not None:
+                        yield row()
+                    held, bits = int(own[0]), np.zeros(1 << ROW_BITS, dtype=bool)
+                if len(own):
+                    bits[places] = True
+        if held is not None:
+            yield row()
+
+    place = F.col("hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    parted = bench.select(F.shiftright(place, ROW_BITS).cast("int").alias("block"), place.bitwiseAND(F.lit((1 << ROW_BITS) - 1)).cast("int").alias("low")).distinct()
+    return parted.repartition(common.parts(bench.sparkSession), "block").sortWithinPartitions("block").mapInArrow(pack, "block int, bits binary")
+
+
+def window_filter(bench: DataFrame) -> np.ndarray:
+    """The bitmap as bytes: 16 MB, or as many as the filter's bits need."""
+    size = 1 << ROW_BITS - 3
+    out = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    for row in filter_rows(bench).toLocalIterator():
+        out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray) -> DataFrame:
+    """Windows of documents whose hash may be one of the benchmark's, as the bitmap ``wanted`` says."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(wanted)
+    shared = spark.sparkContext.broadcast(zlib.compress(wanted.tobytes(), 1))
 
     def run(batches):
         lexicon = common.worker_state("lexicon", "", Lexicon)
-        wanted = shared.value
-        if wanted is not None:
-            low = np.zeros(1 << 20, dtype=bool)
-            low[(wanted & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        bits = np.frombuffer(zlib.decompress(shared.value), np.uint8)
+        # The same folded to 20 bits, which a core's cache holds, looks first.
+        low = np.unpackbits(np.bitwise_or.reduce(bits.reshape(-1, 1 << 17), axis=0), bitorder="little").astype(bool)
         for ids, text in common.rows_of(batches, ("id", "text"), "text"):
             t = Templates(text.to_pylist(), lexicon)
             names, rows = ids.to_pylist(), []
             for size in sizes:
                 for at, h, form, mask in t.windows(size):
-                    if wanted is not None:
-                        maybe = low[(h & np.uint64(0xFFFFF)).astype(np.int64)]
-                        at, h, form, mask = at[maybe], h[maybe], form[maybe], mask[maybe]
-                        found = np.searchsorted(wanted, h)
-                        there = wanted[np.minimum(found, len(wanted) - 1)] == h if len(wanted) else np.zeros(len(h), bool)
-                        at, h, form, mask = at[there], h[there], form[there], mask[there]
-                    for i, x, f, m in zip(at.tolist(), h.view(np.int64).tolist(), form.tolist(), mask.tolist(), strict=True):
+                    maybe = np.flatnonzero(low[(h & np.uint64(0xFFFFF)).astype(np.int64)])
+                    place = (h[maybe] & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+                    there = maybe[(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)]
+                    for i, x, f, m in zip(at[there].tolist(), h[there].view(np.int64).tolist(), form[there].tolist(), mask[there].tolist(), strict=True):
                         d = int(t.doc[i])
                         rows.append((names[d], i - int(t.starts[d]), size, x, f, t.slots(i, size, f, m), 0, 0))
                         if len(rows) >= 50_000:
@@ -246,12 +280,8 @@ def contaminations(docs: DataFrame, items: DataFrame) -> DataFrame:
     common.ship(spark)
     bench = common.save(item_windows(items), "bench")
     sizes = sorted({r["size"] for r in bench.select("size").distinct().collect()})
-    n = bench.count()
-    wanted = None
-    if n <= MOST_SENT:
-        wanted = np.unique(np.array([r["hash"] for r in bench.select("hash").distinct().collect()], dtype=np.int64).view(np.uint64))
     given = docs.select(F.col("doc_id").cast("bigint").alias("id"), common.utf8("text").alias("text"))
-    found = document_windows(given, sizes, wanted)
+    found = document_windows(given, sizes, window_filter(bench))
     met = found.select(F.col("id").alias("doc_id"), "pos", "hash", F.col("form").alias("doc_form"), F.col("slots").alias("doc_slots")).join(
         bench.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", "form", F.col("slots").alias("item_slots"), "windows", "rich"),
         "hash",

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm import common
 
 SAMPLE_DOCS = 400
+#: Bytes of text that are learned from at most, in equal shares of the languages.
+SAMPLE_BYTES = 24 << 20
 EM_ROUNDS = 4
 WORD_CHARS = 24
 SMOOTHING = 0.05
@@ -251,22 +253,27 @@ def sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> dict[str, list[str]]
 
     The choice follows a hash of the row, so it does not depend on partitioning.
     """
-    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").alias("text")).where(
+    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.crc_bucket("doc_id", 3) != 1)
     )
-    counts = {r["lang"]: r["n"] for r in given.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in given.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}
     if not counts:
         return {}
-    # Twice the expected need, then exactly per_lang in hash order.
+    # Twice the expected need, one row per language and id, then exactly per_lang in hash order as far as the bytes go.
     share = F.lit(0.0)
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * per_lang / n))).otherwise(share)
-    draw = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_000))
-    rows = given.withColumn("draw", draw).where(F.col("draw") < share * 1_000_000).select("lang", "draw", "text").collect()
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * per_lang / max(n, 1)))).otherwise(share)
+    drawn = given.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))).where(F.col("draw") < share * 1_000_000)
+    one = common.save(drawn.groupBy("lang", "draw", "doc_id").agg(F.min("text").alias("text")), "sample")
+    rows = sorted(tuple(r) for r in one.select("lang", "draw", F.xxhash64("text"), F.octet_length("text")).collect())
     out: dict[str, list[str]] = {lang: [] for lang in counts}
-    for row in sorted(rows, key=lambda r: (r["lang"], r["draw"], r["text"])):
-        if len(out[row["lang"]]) < per_lang:
-            out[row["lang"]].append(row["text"])
+    for lang in out:
+        chosen = common.within(((r[:3], r[3]) for r in rows if r[0] == lang), SAMPLE_BYTES // len(counts))[:per_lang]
+        if chosen:
+            few = docs.sparkSession.createDataFrame(chosen, "lang string, draw bigint, h bigint")
+            own = one.where(F.col("lang") == lang).withColumn("h", F.xxhash64("text")).join(F.broadcast(few), ["lang", "draw", "h"], "left_semi")
+            out[lang] = [r["text"] for r in own.select("draw", "text").orderBy("draw", "text").limit(per_lang).collect()]
+    common.discard(one)
     return out
 
 

@@ -85,16 +85,16 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) per row."""
+    """doc_id, h (a hash of the text), fp (the fingerprint as a signed long) per row."""
     common.ship(docs.sparkSession)
 
     def run(batches):
-        for ids, text in common.rows_of(batches, ("doc_id", "text"), "text"):
+        for ids, h, text in common.rows_of(batches, ("doc_id", "h", "text"), "text"):
             fps = [fingerprint(t or b"") for t in text.cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([ids, h, pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "h", "fp"])
 
-    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), common.utf8("text").alias("text"))
-    return given.mapInArrow(run, "doc_id bigint, fp bigint")
+    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(common.utf8("text")).alias("h"), common.utf8("text").alias("text"))
+    return given.mapInArrow(run, "doc_id bigint, h bigint, fp bigint")
 
 
 def _key(fp: Column, k: int) -> Column:
@@ -173,14 +173,14 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id that links reach) per row."""
+    """doc_id, h (a hash of the text), fp and component_id (smallest doc_id that links reach) per row."""
     fps = common.save(fingerprints(docs), "fingerprints")
     distinct = common.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     found = common.save(connected(links(distinct, group)).select(F.col("node").alias("fp"), "root"), "components")
     rooted = distinct.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = common.save(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named, "fp").select("doc_id", "h", "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:

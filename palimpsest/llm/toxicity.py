@@ -33,6 +33,8 @@ from palimpsest.llm import common
 
 #: Most labelled documents of each label that the model is fitted on.
 SAMPLE = {0: 4000, 1: 2500}
+#: Bytes of text that are learned from at most; a document that goes beyond is passed over.
+SAMPLE_BYTES = 24 << 20
 CALIBRATION = 0.25
 ROWS = 1 << 16
 DIM = 8
@@ -280,13 +282,16 @@ def sample(docs: DataFrame, labels: DataFrame, bound: dict[int, int] | None = No
             kept.append((r["doc_id"], r["toxic"]))
     if not kept:
         return []
-    few = docs.sparkSession.createDataFrame(kept, "doc_id bigint, toxic int")  # at most sum(bound) rows
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), common.utf8("text").alias("text"), F.col("lang").alias("lang"))
-    rows = own.join(F.broadcast(few), "doc_id").collect()
-    seen: dict[int, tuple[str, int, str | None]] = {}
-    for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"], r["lang"] or "")):
-        seen.setdefault(r["doc_id"], (r["text"], r["toxic"], r["lang"]))
-    return list(seen.values())
+    spark = docs.sparkSession
+    few = spark.createDataFrame(kept, "doc_id bigint, toxic int")  # at most sum(bound) rows
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(common.utf8("text").alias("text"), F.col("lang").cast("string").alias("lang")).alias("own"))
+    # One row per id, of those that share it the one of the smallest text; then ids in hash order as far as the bytes go.
+    one = common.save(own.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("own").alias("own")).select("doc_id", "toxic", "own.*"), "sample")
+    sizes = {r["doc_id"]: r["n"] for r in one.select("doc_id", F.octet_length("text").alias("n")).collect()}
+    chosen = common.within(((i, sizes[i]) for i, _ in kept if i in sizes), SAMPLE_BYTES)
+    picked = one.join(F.broadcast(spark.createDataFrame([(i,) for i in chosen], "doc_id bigint")), "doc_id", "left_semi").orderBy("doc_id").collect()
+    common.discard(one)
+    return [(r["text"], r["toxic"], r["lang"]) for r in picked]
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), row: str | None = None) -> DataFrame:

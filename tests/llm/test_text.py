@@ -296,7 +296,7 @@ def test_decontamination(spark, nothing):
 def test_decontamination_without_the_filter(spark, monkeypatch):
     docs = spark.createDataFrame([(1, ITEMS[1][1]), (2, "nothing of the kind is said here at all by anyone")], "doc_id bigint, text string")
     items = spark.createDataFrame(ITEMS[:2], "item_id bigint, text string")
-    monkeypatch.setattr(decontam, "MOST_SENT", 0)
+    monkeypatch.setattr(decontam, "window_filter", lambda bench: np.full(1 << decontam.FILTER_BITS - 3, 255, np.uint8))
     assert {r["doc_id"]: r["item_ids"] for r in decontam.verdicts(docs, items).collect()} == {1: [8], 2: []}
 
 
