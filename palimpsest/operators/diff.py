@@ -14,10 +14,21 @@ from palimpsest.operators.analyze import content_size
 
 
 def _only(here: Column, there: Column) -> Column:
-    """Bytes of distinct chunks of one list whose ids the other list lacks."""
-    other = F.transform(there, lambda c: c["id"])
-    mine = F.filter(F.array_distinct(here), lambda c: ~F.array_contains(other, c["id"]))
-    return F.aggregate(mine, F.lit(0).cast("bigint"), lambda a, c: a + c["size"])
+    """Bytes of distinct chunks of one list whose ids the other list lacks: both lists sorted together, then one pass."""
+    other, own = F.lit("\x00"), F.lit("\x01")
+    mine = F.array_distinct(F.transform(here, lambda c: F.concat(c["id"], own, F.coalesce(c["size"], F.lit(0)).cast("string"))))
+    theirs = F.transform(there, lambda c: F.concat(c["id"], other))
+    start = F.struct(F.lit("").alias("last"), F.lit(0).cast("bigint").alias("bytes"))
+
+    def step(seen: Column, x: Column) -> Column:
+        # An id of the other list comes right before the same id of this one.
+        size = F.substring_index(x, "\x01", -1).cast("bigint")
+        known = F.substring_index(x, "\x01", 1) == seen["last"]
+        return F.when(x.endswith(other), F.struct(F.rtrim(x, other).alias("last"), seen["bytes"].alias("bytes"))).otherwise(
+            F.struct(seen["last"].alias("last"), (seen["bytes"] + F.when(known, 0).otherwise(size)).alias("bytes"))
+        )
+
+    return F.aggregate(F.sort_array(F.concat(mine, theirs)), start, step, lambda seen: seen["bytes"])
 
 
 def compare(a: DataFrame, b: DataFrame, same_chunker: bool = True, content_only: bool = False) -> DataFrame:

@@ -103,6 +103,36 @@ def recreate_rechunk_all(spark, d):
     return repo.extract(repo.recreate(old, chunker="buzhash64,8,12,10,63")).select("path", F.sha2("content", 256).alias("id"))
 
 
+@register("recompress_in_place", "select source || '/' || doc_id as path, sha256(text) as id from documents")
+def recompress_in_place(spark, d):
+    """All documents stored plain, every chunk rewritten by zlib where that is smaller, and out again."""
+    repo = _repository(spark)
+    archive = repo.create("docs", _files(spark, d, F.lit(True)), "fixed,4096", "none", time=datetime(2024, 1, 1))
+    repo.recompress_in_place("zlib,6")
+    return repo.extract(archive).select("path", F.sha2("content", 256).alias("id"))
+
+
+@register("transfer_repository", "select source || '/' || doc_id as path, sha256(text) as id from documents")
+def transfer_repository(spark, d):
+    """Two archives of a repository moved to one that holds half of their chunks, and the second out of there."""
+    source, target = _repository(spark), _repository(spark)
+    target.create("half", _files(spark, d, F.col("doc_id") % 2 == 0), "fixed,4096", time=datetime(2024, 1, 1))
+    source.create("old", _files(spark, d, F.col("doc_id") % 3 == 0), "fixed,4096", time=datetime(2024, 1, 2))
+    source.create("docs", _files(spark, d, F.lit(True)), "fixed,4096", time=datetime(2024, 1, 3))
+    return target.extract(target.transfer(source)[1]).select("path", F.sha2("content", 256).alias("id"))
+
+
+@register("compact_repository", "select source || '/' || doc_id as path, sha256(text) as id from documents where doc_id % 2 = 0")
+def compact_repository(spark, d):
+    """Two archives, the larger one deleted, its chunks compacted away, and the other out again."""
+    repo = _repository(spark)
+    both = repo.create("docs", _files(spark, d, F.lit(True)), "fixed,4096", time=datetime(2024, 1, 1))
+    even = repo.create("even", _files(spark, d, F.col("doc_id") % 2 == 0), "fixed,4096", time=datetime(2024, 1, 2))
+    repo.delete(both)
+    repo.compact()
+    return repo.extract(even).select("path", F.sha2("content", 256).alias("id"))
+
+
 @register("second_archive_new_chunks", """with b as (select doc_id, unnest(range(0, ((len(text) + 255) // 256)::int)) as k, text from documents where text <> ''),
   c as (select doc_id, sha256(substr(text, (k * 256 + 1)::int, 256)) as id from b)
   select count(distinct id) as new_chunks from c where doc_id % 2 = 1 and id not in (select id from c where doc_id % 2 = 0)""")

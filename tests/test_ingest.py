@@ -235,3 +235,69 @@ def test_recompress_report(spark, tmp_path):
     assert {(r["outcome"], r["objects"]) for r in repo.recompress("zlib,9").collect()} == {("recompressed", 1), ("no gain", 1)}
     assert {r["outcome"] for r in repo.recompress("none").collect()} == {"already"}
     assert repo.compact_plan().first()["action"] == "keep"
+
+
+def test_recompress_in_place(spark, tmp_path):
+    repo = Repository(spark, str(tmp_path / "r")).create_repository()
+    files = spark.createDataFrame([("a", bytearray(b"abc" * 400)), ("b", bytearray(blob(900, 1))), ("c", bytearray(b"x" * 900))], "path string, content binary")
+    one = repo.create("n", files, "fixed,5000", "none")
+    two = repo.create("m", files.where("path = 'b'"), "fixed,100", "none")
+    before = repo.info().first()
+    assert {(r["outcome"], r["objects"]) for r in repo.recompress_in_place("zlib,9").collect()} == {("recompressed", 2), ("no gain", 10)}
+    after = repo.info().first()
+    assert after["chunks"] == before["chunks"] and after["stored_size"] < before["stored_size"]
+    assert repo.table("chunks").count() == repo.index().count() == repo.stored().count()
+    assert {r["ctype"] for r in repo.stored().collect()} == {"zlib", "none"}
+    want = {"a": b"abc" * 400, "b": blob(900, 1), "c": b"x" * 900}
+    assert {r["path"]: bytes(r["content"]) for r in repo.extract(one).collect()} == want
+    assert bytes(repo.extract(two).first()["content"]) == want["b"] and repo.check(verify_data=True).count() == 0
+    assert {r["outcome"] for r in repo.recompress_in_place("zlib,9").collect()} == {"already", "no gain"}
+
+
+def test_transfer_copies_only_missing_chunks(spark, tmp_path):
+    source, target = (Repository(spark, str(tmp_path / n)).create_repository() for n in "st")
+    files = spark.createDataFrame([("a", bytearray(blob(900, 1))), ("b", bytearray(blob(900, 2))), ("e", bytearray(b""))], "path string, content binary")
+    target.create("have", files.where("path = 'a'"), "fixed,300", time=datetime(2024, 1, 1))
+    source.create("all", files, "fixed,300", "zlib,6", tags=("t",), time=datetime(2024, 1, 2))
+    had = target.table("chunks").count()
+    (new,) = target.transfer(source)
+    assert target.table("chunks").count() - had == 3 and target.transfer(source) == []
+    assert {r["path"]: bytes(r["content"]) for r in target.extract(new).collect()} == {"a": blob(900, 1), "b": blob(900, 2), "e": b""}
+    row = target.archives().where(f"archive_id = '{new}'").first()
+    assert (row["name"], row["tags"], row["nfiles"], row["size"]) == ("all", ["t"], 3, 1800)
+    again = Repository(spark, str(tmp_path / "u")).create_repository()
+    (copy,) = again.transfer(source, "none")
+    assert {r["ctype"] for r in again.stored().collect()} == {"none"} and again.extract(copy).count() == 3
+
+
+def test_a_run_that_fails_keeps_the_index_whole(spark, tmp_path, monkeypatch):
+    def fail(*_):
+        raise OSError("lost")
+
+    repo = Repository(spark, str(tmp_path / "r")).create_repository()
+    files = spark.createDataFrame([("a", bytearray(b"ab" * 450)), ("b", bytearray(b"cd" * 450))], "path string, content binary")
+    both = repo.create("both", files, "fixed,301", "none", time=datetime(2024, 1, 1))
+    keep = repo.create("keep", files.where("path = 'a'"), "fixed,301", "none", time=datetime(2024, 1, 2))
+    for step in ("_move", "_drop_groups"):
+        with monkeypatch.context() as m:
+            m.setattr(Repository, step, fail)
+            with pytest.raises(OSError):
+                repo.recompress_in_place("zlib,6")
+        assert repo.check(verify_data=True).count() == 0 and bytes(repo.extract(both).where("path = 'a'").first()["content"]) == b"ab" * 450
+    repo.delete(both)
+    with monkeypatch.context() as m:
+        m.setattr(Repository, "_drop_groups", fail)
+        with pytest.raises(OSError):
+            repo.compact()
+    assert repo.check().count() == 0 and bytes(repo.extract(keep).first()["content"]) == b"ab" * 450
+    repo.compact()
+    assert bytes(repo.extract(keep).first()["content"]) == b"ab" * 450
+
+
+@pytest.mark.parametrize("spec", ["fastcdc,6,10,8,2", "buzhash64,6,10,8,48", "buzhash,6,10,8,17"])
+def test_chunks_do_not_depend_on_steps(monkeypatch, spec):
+    data = blob(20_000, 3)
+    params = chunking.Params.parse(spec)
+    want = chunking.cuts(data, params, b"k")
+    monkeypatch.setattr(chunking, "STEP", 100)
+    assert chunking.cuts(data, params, b"k") == want and len(want) > 20
