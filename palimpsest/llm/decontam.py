@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become template tokens: numbers, units after a number, and names
-(capitalised words) turn into typed placeholders, other words into lower case.
+(capitalised words) turn into typed placeholders, other words into lower case; a
+letter of a script without spaces is a word.
 A capital that starts a sentence or text may be a name or a plain word, and a
 unit that starts a window after a number may be a plain word: a window is
 emitted for every such reading, so that what precedes a copy does not matter.
@@ -57,6 +58,8 @@ UNITS = frozenset(
 )
 
 _TOKEN = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+|[.!?\n]")
+# Scripts written without spaces, by ranges of code points (fixed values): Thai to Lao, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
 PLAIN, NUMBER, UNIT, CAPITAL, END = range(5)
 #: How a window matches: by template with sentence starts as plain words, by template in another reading, or by equal tokens.
 LITERAL, TEMPLATE, EXACT = range(3)
@@ -66,6 +69,13 @@ _KIND_HASH = np.array([0] + [xxhash.xxh64_intdigest(f"<{k}>") for k in ("number"
 _MUL = 0x9E3779B97F4A7C15
 
 
+def _tokens(text: str) -> list[str]:
+    """Words, numbers and sentence ends; a letter of a script without spaces is a word."""
+    if not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \g<0> ", text)
+    return _TOKEN.findall(text)
+
+
 def _kind(token: str) -> int:
     if token[0].isdecimal() and token[0].isascii():
         return NUMBER
@@ -107,7 +117,7 @@ class Templates:
     """Template tokens of many texts, one after another."""
 
     def __init__(self, texts: list[str], lexicon: Lexicon):
-        cut = [_TOKEN.findall(t) for t in texts]
+        cut = [_tokens(t) for t in texts]
         flat = [x for own in cut for x in own]
         kind, h = lexicon(flat)
         doc = np.repeat(np.arange(len(cut)), [len(x) for x in cut])

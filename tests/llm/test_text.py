@@ -300,6 +300,14 @@ def test_decontamination_without_the_filter(spark, monkeypatch):
     assert {r["doc_id"]: r["item_ids"] for r in decontam.verdicts(docs, items).collect()} == {1: [8], 2: []}
 
 
+def test_items_of_scripts_without_spaces(spark):
+    item = "東京から大阪まで電車で何時間かかりますか"
+    data = [(1, f"前の文章です。{item}後に続く文章もあります"), (2, "大阪の天気は明日も晴れるでしょうと言われました"), (3, item[:6] + "abc")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    items = spark.createDataFrame([(5, item)], "item_id bigint, text string")
+    assert {r["doc_id"]: r["item_ids"] for r in decontam.verdicts(docs, items).collect()} == {1: [5], 2: [], 3: []}
+
+
 POOR = [
     (1, "Compute 12 + 7 * 3"),
     (2, "Did Barack Obama meet Angela Merkel in Berlin in 2015?"),
