@@ -156,7 +156,9 @@ def edit_tags(archives: DataFrame, add: Sequence[str] = (), remove: Sequence[str
 
 
 def search_bytes(objects: DataFrame, needle: bytes, context: int = 8, data: str = "data") -> DataFrame:
-    """chunk_id, offset (from 0), context in hex: first place of a byte sequence in each object."""
+    """chunk_id, offset (from 0), context in hex, hits: first place of a byte sequence in each object, and how often it is there without overlaps."""
+    if not needle:
+        raise ValueError("nothing to search for")
     text = F.hex(data)
     wanted = needle.hex().upper()
     # A hit at an odd digit is no byte; look for pairs of digits only.
@@ -164,4 +166,46 @@ def search_bytes(objects: DataFrame, needle: bytes, context: int = 8, data: str
     spaced = " ".join(wanted[i : i + 2] for i in range(0, len(wanted), 2))
     at = F.instr(pairs, spaced)
     offset = ((at - 1) / 3).cast("bigint")
-    return objects.withColumn("at", at).where("at > 0").select("chunk_id", offset.alias("offset"), F.substring(text, F.greatest(offset * 2 + 1 - 2 * context, F.lit(1)).cast("int"), F.lit(4 * context + len(wanted))).alias("context"))
+    hits = (F.length(pairs) - F.length(F.replace(pairs, F.lit(spaced + " "), F.lit("")))) / (len(spaced) + 1)
+    around = F.substring(text, F.greatest(offset * 2 + 1 - 2 * context, F.lit(1)).cast("int"), F.lit(4 * context + len(wanted)))
+    return objects.withColumn("at", at).where("at > 0").select("chunk_id", offset.alias("offset"), around.alias("context"), hits.cast("bigint").alias("hits"))
+
+
+def search_across(objects: DataFrame, needle: bytes, order: Sequence[str], folder: str, context: int = 8, data: str = "data", parts: int | None = None) -> DataFrame:
+    """chunk_id, next_id, offset (in the first, from 0), context in hex: where a byte sequence begins in one object and ends in the next by ``order``.
+
+    Only the objects' ends are sorted, dealt by ranges that are kept in
+    ``folder``; the end of a range reaches the next as one row. Of several
+    places across one boundary the first counts. A null object is empty.
+    """
+    reach = len(needle) - 1
+    if not needle:
+        raise ValueError("nothing to search for")
+    bytes_of = F.coalesce(F.col(data), F.lit(b""))
+    n = F.octet_length(bytes_of)
+    kept = reach + context
+    keys = [F.col(c).alias(f"key{i}") for i, c in enumerate(order)]
+    ends = objects.select(
+        *keys, "chunk_id", n.cast("bigint").alias("n"), F.hex(F.substring(bytes_of, F.lit(1), F.lit(kept))).alias("head"),
+        F.hex(F.substring(bytes_of, F.greatest(n - kept, F.lit(0)) + 1, F.lit(kept))).alias("tail"),
+    )
+    by = [f"key{i}" for i in range(len(order))]
+    dealt = (ends.repartitionByRange(parts, *by) if parts else ends.repartitionByRange(*by)).withColumn("part", F.spark_partition_id())
+    dealt.write.parquet(folder)
+    rows = objects.sparkSession.read.schema(dealt.schema).parquet(folder)
+    before = F.struct("chunk_id", "n", "tail")
+    # One row per range: few rows in one task.
+    last = rows.groupBy("part").agg(F.max_by(before, F.struct(*by, "chunk_id")).alias("last"))
+    last = last.select("part", F.lag("last").over(Window.orderBy("part")).alias("last"))
+    inside = F.lag(before).over(Window.partitionBy("part").orderBy(*by, "chunk_id"))
+    pairs = rows.withColumn("before", inside).join(F.broadcast(last), "part").withColumn("before", F.coalesce("before", "last")).where("before is not null")
+    tail, head = F.col("before.tail"), F.col("head")
+    # Digits of the bytes from where a sequence may begin to where it may end.
+    near = F.concat(F.substring(tail, F.greatest(F.length(tail) - 2 * reach, F.lit(0)) + 1, F.lit(2 * reach)), F.substring(head, F.lit(1), F.lit(2 * reach)))
+    spaced = " ".join(f"{b:02X}" for b in needle)
+    at = ((F.instr(F.regexp_replace(near, "(..)", "$1 "), spaced) - 1) / 3).cast("bigint")
+    found = pairs.withColumn("at", at).where(F.instr(F.regexp_replace(near, "(..)", "$1 "), spaced) > 0)
+    back = F.least(F.length(tail) / 2, F.lit(reach)).cast("bigint") - F.col("at")
+    begin = F.length(tail) - 2 * back
+    around = F.substring(F.concat(tail, head), F.greatest(begin - 2 * context, F.lit(0)).cast("int") + 1, (2 * (len(needle) + context) + F.least(begin, F.lit(2 * context))).cast("int"))
+    return found.select(F.col("before.chunk_id").alias("chunk_id"), F.col("chunk_id").alias("next_id"), (F.col("before.n") - back).alias("offset"), around.alias("context"))

@@ -7,12 +7,44 @@ has. With different chunker parameters only total sizes can be compared.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import scalars
 from palimpsest.operators.analyze import content_size
 
 
+def _sort_values(x: Column, y: Column, names: list[str]) -> Column:
+    """What the sort keys read: the second snapshot's item, where a missing item, value or column is empty, -1 or 0."""
+    none = F.lit(None)
+
+    def value(side: Column, name: str, default, kind: str) -> Column:
+        return F.coalesce(side[name] if name in names else none.cast(kind), F.lit(default)).cast(kind)
+
+    def ns(side: Column, name: str) -> Column:
+        if f"{name}_ns" in names:
+            return value(side, f"{name}_ns", 0, "bigint")
+        micros = F.unix_micros(side[name].cast("timestamp")) if name in names else none.cast("bigint")
+        return F.coalesce(micros * 1000, F.lit(0)).cast("bigint")
+
+    content = F.coalesce(content_size(y["chunks"]), value(y, "size", 0, "bigint"))
+    target = y["target"] if "target" in names else none.cast("string")
+    size = F.when(y["mode"].isNull(), content).otherwise(scalars.item_size(y["mode"], content, target))
+    return F.struct(
+        size.cast("bigint").alias("size"),
+        value(y, "user", "", "string").alias("user"),
+        value(y, "group", "", "string").alias("group"),
+        value(y, "uid", -1, "bigint").alias("uid"),
+        value(y, "gid", -1, "bigint").alias("gid"),
+        ns(y, "ctime").alias("ctime"),
+        ns(y, "mtime").alias("mtime"),
+        (ns(y, "ctime") - ns(x, "ctime")).alias("ctime_diff"),
+        (ns(y, "mtime") - ns(x, "mtime")).alias("mtime_diff"),
+    )
+
+
 def _only(here: Column, there: Column) -> Column:
     """Bytes of distinct chunks of one list whose ids the other list lacks: both lists sorted together, then one pass."""
     other, own = F.lit("\x00"), F.lit("\x01")
@@ -31,9 +63,12 @@ def _only(here: Column, there: Column) -> Column:
     return F.aggregate(F.sort_array(F.concat(mine, theirs)), start, step, lambda seen: seen["bytes"])
 
 
-def compare(a: DataFrame, b: DataFrame, same_chunker: bool = True, content_only: bool = False) -> DataFrame:
+def compare(a: DataFrame, b: DataFrame, same_chunker: bool = True, content_only: bool = False, sort_values: bool = False) -> DataFrame:
     """path, kind, content, added, removed, mode and owner changes, times changed, and the default order.
 
+    With ``sort_values`` a struct of that name has what the sort keys beside
+    path, added and removed need; both sides have the same columns then.
+
     kind is added, removed or changed; equal items do not appear. order1..order3
     give the order in which a streaming comparison would report the rows:
     matched rows as soon as both sides are seen, then additions, then removals.
@@ -74,6 +109,7 @@ def compare(a: DataFrame, b: DataFrame, same_chunker: bool = True, content_only:
         F.when(changed, 0).when(x.isNull(), 1).otherwise(2).alias("order1"),
         F.when(x.isNull(), y["ordinal"]).when(y.isNull(), x["ordinal"]).otherwise(F.greatest(x["ordinal"], y["ordinal"])).alias("order2"),
         F.when(changed & (x["ordinal"] < y["ordinal"]), 1).otherwise(0).alias("order3"),
+        *((_sort_values(x, y, b.columns).alias("sort_values"),) if sort_values else ()),
     )
     seen = F.col("modified") if content_only else F.col("modified") | F.col("mode").isNotNull() | F.col("owner").isNotNull() | F.col("mtime_changed")
     return rows.where((F.col("kind") != "changed") | seen)
@@ -84,10 +120,10 @@ def reported(changes: DataFrame) -> DataFrame:
     return changes.orderBy("order1", "order2", "order3")
 
 
-def placed(changes: DataFrame, folder: str, parts: int | None = None) -> DataFrame:
-    """Rows with ``place`` (from 1) in the default order, dealt by ranges that are kept in ``folder``: no task sees all rows."""
+def placed(changes: DataFrame, folder: str, parts: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows with ``place`` (from 1) by sort keys and then in the default order, dealt by ranges that are kept in ``folder``: no task sees all rows."""
     spark = changes.sparkSession
-    order = ("order1", "order2", "order3")
+    order = _order(keys)
     dealt = changes.repartitionByRange(parts, *order) if parts else changes.repartitionByRange(*order)
     dealt = dealt.withColumn("part", F.spark_partition_id())
     dealt.write.parquet(folder)
@@ -101,23 +137,29 @@ def placed(changes: DataFrame, folder: str, parts: int | None = None) -> DataFra
     return rows.join(F.broadcast(starts), "part").withColumn("place", F.col("before") + inside).drop("part", "before")
 
 
-#: Sort keys of a diff (fixed values) and what they sort by.
-SORT_KEYS = {
-    "path": F.col, "size_added": lambda _: F.col("added"), "size_removed": lambda _: F.col("removed"),
-    "size_diff": lambda _: F.col("added") - F.col("removed"),
-}
+#: Sort keys of a diff (fixed values).
+SORT_KEYS = ("path", "size_added", "size_removed", "size_diff", "size", "user", "group", "uid", "gid", "ctime", "mtime", "ctime_diff", "mtime_diff")
 
 
-def sorted_by(changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows by path, size_added, size_removed or size_diff, ``>`` for descending; ties in default order."""
+def _order(keys: Sequence[str]) -> list[Column]:
     order = []
     for key in keys:
         name = key.removeprefix(">")
         if name not in SORT_KEYS:
             raise ValueError(f"unknown sort key {key!r}")
-        col = SORT_KEYS[name](name)
+        if name == "path":
+            col = F.col("path")
+        elif name == "size_diff":
+            col = F.col("added") - F.col("removed")
+        else:
+            col = F.col(name.removeprefix("size_")) if name.startswith("size_") else F.col("sort_values")[name]
         order.append(col.desc() if key.startswith(">") else col.asc())
-    return changes.orderBy(*order, "order1", "order2", "order3")
+    return [*order, *(F.col(c).asc() for c in ("order1", "order2", "order3"))]
+
+
+def sorted_by(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows by SORT_KEYS, ``>`` for descending; ties in default order. Keys after size_diff need compare's ``sort_values``."""
+    return changes.orderBy(*_order(keys))
 
 
 def totals(changes: DataFrame) -> DataFrame:
