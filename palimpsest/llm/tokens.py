@@ -45,6 +45,8 @@ from palimpsest.llm import common
 CACHE_WORDS = 700_000
 #: Words up to this many characters are kept.
 CACHE_CHARS = 64
+#: Chunks that go to the library in one text.
+JOINED = 32
 #: Bytes of text that one call works on.
 BATCH_BYTES = 8 << 20
 
@@ -82,13 +84,31 @@ class CachedTokenizer:
             raise ValueError(f"{path}: added tokens that match other than literally are not supported")
         longest = sorted(self.added, key=len, reverse=True)
         self.at_added = re.compile(f"({'|'.join(map(re.escape, longest))})") if special and longest else None
+        self.between = next(filter(self._parts, self.added), None) if self.at_added else None
+        if self.between is not None:
+            (self.between_id,) = struct.unpack("<I", self.added[self.between])
         self.cache: dict[str, bytes] = {}
 
+    def _parts(self, token: str) -> bool:
+        """Whether an added token between two texts is found there, whatever the texts are."""
+        overlap = lambda a, b: any(b.startswith(a[i:]) for i in range(1, len(a)))
+        return not any(overlap(token, t) or overlap(t, token) or (t != token and token in t) for t in self.added)
+
     def _ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks; many go to the library in one text, with an added token between them that none of them holds."""
         encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        joined = JOINED if self.between is not None else 1
+        texts = [(self.between or "").join(chunks[i : i + joined]) for i in range(0, len(chunks), joined)]
         out: list[bytes] = []
-        for at in range(0, len(chunks), 4096):
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in encode(chunks[at : at + 4096], add_special_tokens=False)]
+        for at in range(0, len(texts), 4096 // joined):
+            for e in encode(texts[at : at + 4096 // joined], add_special_tokens=False):
+                ids = np.array(e.ids, dtype="<u4")
+                data, begin = ids.tobytes(), 0
+                if self.between is not None:
+                    for end in (4 * np.flatnonzero(ids == self.between_id)).tolist():
+                        out.append(data[begin:end])
+                        begin = end + 4
+                out.append(data[begin:])
         return out
 
     def _add(self, words: Iterable[str], local: dict[str, bytes]) -> None:
@@ -103,18 +123,22 @@ class CachedTokenizer:
                 stems[w] = None
         stems.setdefault(".")
         stems.setdefault(",")
-        for s in [s for s in stems if s in self.cache]:
-            local[s] = self.cache[s]
-        new = [s for s in stems if s not in local]
+        new = []
+        for s in stems:
+            ids = self.cache.get(s)
+            if ids is None:
+                new.append(s)
+            else:
+                local[s] = ids
         local.update(zip(new, self._ids(new), strict=True))
         for w, stem, end in split:
             local[w] = local[stem] + local[end]
-        room = CACHE_WORDS - len(self.cache)
-        if room > 0:
+        if len(self.cache) < CACHE_WORDS:
             for w, ids in local.items():
-                if room and len(w) <= CACHE_CHARS:
+                if len(w) <= CACHE_CHARS:
                     self.cache[w] = ids
-                    room -= 1
+                    if len(self.cache) >= CACHE_WORDS:
+                        break
 
     def _cut(self, text: str) -> list[str]:
         """Chunks whose ids, one after another, are the text's ids."""
@@ -137,17 +161,28 @@ class CachedTokenizer:
         return [b"".join(self.added[x] if i % 2 else next(between) for i, x in enumerate(own)) for own in split]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(t) for t in texts]
-        cache = self.cache
-        new = {w for words in cut for w in words if w not in cache}
-        if not new:
-            return [b"".join(map(cache.__getitem__, words)) for words in cut]
-        local: dict[str, bytes] = {}
-        self._add(new, local)
-        get = cache.get
-        out = []
-        for words in cut:
-            out.append(b"".join([ids if (ids := get(w)) is not None else local[w] for w in words]))
+        get = self.cache.get
+        out: list[bytes] = []
+        held: list[tuple[int, list[bytes | None], list[int], list[str]]] = []
+        new: dict[str, None] = {}
+        for n, text in enumerate(texts):
+            words = self._cut(text)
+            found = list(map(get, words))
+            try:
+                out.append(b"".join(found))
+            except TypeError:  # a word without ids yet
+                out.append(b"")
+                places = [i for i, ids in enumerate(found) if ids is None]
+                missing = [words[i] for i in places]
+                held.append((n, found, places, missing))
+                new.update(dict.fromkeys(missing))
+        if held:
+            local: dict[str, bytes] = {}
+            self._add(new, local)
+            for n, found, places, missing in held:
+                for i, w in zip(places, missing, strict=True):
+                    found[i] = local[w]
+                out[n] = b"".join(found)
         return out
 
 
