@@ -173,6 +173,19 @@ def diff_order_all(spark, d):
     return diff.placed(diff.compare(*_months(spark, d)), shared_folder(spark, "diff")).select("path", "kind", "place")
 
 
+@register(
+    "diff_sorted",
+    _diff_sql(
+        "select r.path, row_number() over (order by coalesce(q.yu, ''), coalesce(list_sum(list_transform(q.yc, lambda z: z.size)), 0) desc, "
+        "coalesce(epoch_us(q.yt), 0) - coalesce(epoch_us(q.xt), 0), order1, order2, order3) as place "
+        f"from r join (select path, yu, yc, xt, yt from j) q on r.path = q.path where {_KEEP}"
+    ),
+)
+def diff_sorted(spark, d):
+    changes = diff.compare(*_months(spark, d), sort_values=True)
+    return diff.placed(changes, shared_folder(spark, "diff"), keys=("user", ">size", "mtime_diff")).select("path", "place")
+
+
 @register(
     "diff_largest",
     _diff_sql(f"select path, added, removed from r where {_KEEP} order by added - removed desc, path limit 50"),
@@ -407,6 +420,22 @@ def search_bytes(spark, d):
     return catalog.search_bytes(objects, b"Apache").select("chunk_id", "offset")
 
 
+@register("search_hits", "select doc_id as chunk_id, ((len(text) - len(replace(text, 'the', ''))) // 3)::bigint as hits from documents where contains(text, 'the')")
+def search_hits(spark, d):
+    objects = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").cast("binary").alias("data"))
+    return catalog.search_bytes(objects, b"the").select("chunk_id", "hits")
+
+
+@register(
+    "search_across",
+    "with o as (select doc_id, hex(encode(coalesce(text, ''))) as h, lead(doc_id) over w as next_id, lead(hex(encode(coalesce(text, '')))) over w as nh from documents window w as (order by doc_id nulls first)) "
+    "select doc_id as chunk_id, next_id, (len(h) // 2 - 1)::bigint as \"offset\" from o where right(h, 2) || left(nh, 2) = '2E54'",
+)
+def search_across(spark, d):
+    objects = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").cast("binary").alias("data"))
+    return catalog.search_across(objects, b".T", ("chunk_id",), shared_folder(spark, "search")).select("chunk_id", "next_id", "offset")
+
+
 @register("edit_tags", with_sql(SNAPSHOTS_SQL) + "select archive_id, list_sort(list_distinct(list_filter(list_concat(tags, ['b', 'a']), lambda t: t <> 'weekly'))) as tags from snaps where name = 'view'")
 def edit_tags(spark, d):
     return catalog.edit_tags(views.snapshots(spark, d).where("name = 'view'"), add=("b", "a"), remove=("weekly",)).select("archive_id", "tags")

@@ -1,8 +1,10 @@
 """Chunkers, codecs, packs, tars, trees and the repository commands."""
 
 import hashlib
+import io
 import os
 import random
+import stat
 import tarfile
 from datetime import datetime, timedelta
 
@@ -301,3 +303,61 @@ def test_chunks_do_not_depend_on_steps(monkeypatch, spec):
     want = chunking.cuts(data, params, b"k")
     monkeypatch.setattr(chunking, "STEP", 100)
     assert chunking.cuts(data, params, b"k") == want and len(want) > 20
+
+
+def test_tar_keeps_every_kind(spark, tmp_path):
+    with tarfile.open(tmp_path / "x.tar", "w") as t:
+
+        def put(name, kind, data=b"", **more):
+            m = tarfile.TarInfo(name)
+            m.type, m.size, m.mtime, m.mode = kind, len(data), 1_700_000_000, 0o644
+            for k, v in more.items():
+                setattr(m, k, v)
+            t.addfile(m, io.BytesIO(data))
+
+        put("d", tarfile.DIRTYPE, mode=0o750, uid=7, gid=8, uname="u", gname="g")
+        put("d/f", tarfile.REGTYPE, b"first")
+        put("d/f", tarfile.REGTYPE, b"hello", mode=0o4640, uid=7)
+        put("d/hard", tarfile.LNKTYPE, linkname="d/f")
+        put("d/hard2", tarfile.LNKTYPE, linkname="d/hard")
+        put("lost", tarfile.LNKTYPE, linkname="nowhere")
+        put("soft", tarfile.SYMTYPE, linkname="d/f")
+        put("pipe", tarfile.FIFOTYPE)
+        put("dev", tarfile.CHRTYPE, devmajor=1, devminor=3)
+        put("out", tarfile.SYMTYPE, linkname="/etc")
+        put("out/x", tarfile.REGTYPE, b"no link")
+    repo, other = (Repository(spark, str(tmp_path / n)).create_repository() for n in "ro")
+    one = repo.import_tar("t", str(tmp_path / "x.tar"), chunker="fixed,512")
+    items = {r["path"]: r.asDict() for r in repo.table("items").collect()}
+    assert set(items) == {"d", "d/f", "d/hard", "d/hard2", "lost", "soft", "pipe", "dev", "out", "out/x"}
+    assert (items["d"]["mode"], items["d"]["uid"], items["d"]["group"], items["d/f"]["mode"]) == (0o040750, 7, "g", 0o104640)
+    assert {items[p]["hlid"] for p in ("d/f", "d/hard", "d/hard2")} == {"d/f"} and items["out/x"]["hlid"] is None
+    assert (items["soft"]["target"], items["dev"]["rdev"], items["d/hard2"]["size"]) == ("d/f", os.makedev(1, 3), 5)
+    content = {r["path"]: bytes(r["content"]) for r in repo.extract(one).collect()}
+    assert content["d/hard2"] == b"hello" and content["lost"] == b""
+
+    repo.export_tar(one, str(tmp_path / "tars"))
+    names = [str(tmp_path / "tars" / f) for f in sorted(os.listdir(tmp_path / "tars")) if f.endswith(".tar")]
+    for name in names:
+        with tarfile.open(name) as t:
+            seen = set()
+            for m in t:
+                assert not m.islnk() or m.linkname in seen
+                seen.add(m.name)
+    back = other.import_tar("t", ",".join(names), chunker="fixed,512")
+    again = {r["path"]: r.asDict() for r in other.table("items").collect()}
+    clean = lambda rows: {p: {k: v for k, v in r.items() if k != "archive_id" and (p, k) != ("lost", "hlid")} for p, r in rows.items()}
+    plain = {p: {k: v or None for k, v in r.items()} for p, r in clean(items).items()}
+    assert {p: {k: v or None for k, v in r.items()} for p, r in clean(again).items()} == plain
+    assert {r["path"]: bytes(r["content"]) for r in other.extract(back).collect()} == content
+
+    for _ in range(2):  # a second run finds what the first made
+        repo.extract_to(one, str(tmp_path / "files"))
+        at = lambda p: os.lstat(tmp_path / "files" / p)
+        assert (at("d").st_mode, at("d").st_mtime, at("d/f").st_mode) == (0o040750, 1_700_000_000, 0o100640)
+        assert at("d/f").st_ino == at("d/hard").st_ino == at("d/hard2").st_ino and (tmp_path / "files/d/f").read_bytes() == b"hello"
+        assert os.readlink(tmp_path / "files/soft") == "d/f" and stat.S_ISFIFO(at("pipe").st_mode)
+        assert (tmp_path / "files/out/x").read_bytes() == b"no link" and not os.path.islink(tmp_path / "files/out")
+        assert not os.path.lexists(tmp_path / "files/dev") and not [f for f in os.listdir(tmp_path / "files/d") if f.endswith(".part")]
+    repo.extract_to(one, str(tmp_path / "short"), strip=1)
+    assert sorted(os.listdir(tmp_path / "short")) == ["f", "hard", "hard2", "x"]

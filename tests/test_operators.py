@@ -1,8 +1,9 @@
 """Operators against direct simulations, and the edge cases of their inputs."""
 
 import random
+import tempfile
 from collections import defaultdict
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -229,3 +230,70 @@ def test_attributes(spark):
     assert {r["id"] for r in rows.where(patterns.excluded_by_attribute(F.col("xattrs"), F.col("flags"))).collect()} == {1, 2}
     objects = spark.createDataFrame([("x", b"\x0a\xbc\xde"), ("y", b"\xab\xcd")], "chunk_id string, data binary")
     assert [tuple(r)[:2] for r in catalog.search_bytes(objects, b"\xbc").collect()] == [("x", 1)]
+
+
+def test_search_hits_and_across(spark):
+    rnd = random.Random(5)
+    data = [bytes(rnd.choice(b"ab") for _ in range(rnd.choice([0, 1, 2, 5, 30]))) for _ in range(60)]
+    objects = spark.createDataFrame([(i, f"c{i:02d}", bytearray(x) if x or i % 2 else None) for i, x in enumerate(data)], "n int, chunk_id string, data binary")
+    for needle in (b"a", b"ab", b"aba", b"babba"):
+        got = {r["chunk_id"]: (r["offset"], r["hits"]) for r in catalog.search_bytes(objects, needle).collect()}
+        assert got == {f"c{i:02d}": (x.find(needle), x.count(needle)) for i, x in enumerate(data) if needle in x}
+        reach, want = len(needle) - 1, {}
+        for i, (a, b) in enumerate(zip(data, data[1:])):
+            at = (a[max(len(a) - reach, 0):] + b[:reach]).find(needle)
+            if reach and at >= 0:
+                at += max(len(a) - reach, 0)
+                want[f"c{i:02d}"] = (f"c{i + 1:02d}", at, (a + b[: reach + 3])[max(at - 3, 0) : at + len(needle) + 3].hex().upper())
+        for parts in (1, 7):
+            folder = f"{tempfile.mkdtemp()}/x"
+            found = catalog.search_across(objects, needle, ("n",), folder, context=3, parts=parts).collect()
+            assert {r["chunk_id"]: tuple(r)[1:] for r in found} == want
+    assert catalog.search_across(objects.where("n < 0"), b"ab", ("n",), f"{tempfile.mkdtemp()}/x").count() == 0
+    with pytest.raises(ValueError):
+        catalog.search_bytes(objects, b"")
+
+
+def test_diff_sort_keys(spark):
+    schema = "path string, ordinal bigint, mode bigint, user string, `group` string, uid bigint, gid bigint, target string, ctime_ns bigint, mtime timestamp, chunks array<struct<id:string,size:bigint>>"
+    rnd = random.Random(2)
+
+    def items(seed):
+        rnd.seed(seed)
+        kinds = [(0o100644, None), (0o120777, "there"), (0o040755, None)]
+        out = []
+        for i in range(12):
+            mode, target = kinds[i % 3]
+            chunks = [(str(rnd.randint(0, 9)), rnd.randint(1, 50)) for _ in range(rnd.randint(0, 3))] if mode == 0o100644 else None
+            out.append((f"p{i}", rnd.randint(0, 99), mode, rnd.choice([None, "", "u", "v"]), rnd.choice([None, "g"]), rnd.choice([None, 0, 5]), rnd.choice([None, 1]), target, rnd.choice([None, 0, 7 * 10**9]), datetime(2024, 1, rnd.randint(1, 28)), chunks))
+        return out
+
+    x, y = items(1)[:9], items(2)[3:]
+    changes = diff.compare(spark.createDataFrame(x, schema), spark.createDataFrame(y, schema), sort_values=True)
+    rows = [r.asDict() for r in diff.reported(changes).collect()]
+    at = schema.replace("`", "").split("chunks")[0].split(",")
+    names = [c.split()[0] for c in at if c.strip()] + ["chunks"]
+    one, two = ({r[0]: dict(zip(names, r, strict=True)) for r in s} for s in (x, y))
+
+    def ns(item, name):
+        if item is None:
+            return 0
+        return (item["ctime_ns"] or 0) if name == "ctime" else int(item["mtime"].replace(tzinfo=timezone.utc).timestamp()) * 10**9
+
+    def value(key, r):
+        a, b = one.get(r["path"]), two.get(r["path"])
+        if key in ("size_added", "size_removed"):
+            return r[key[5:]]
+        size = lambda i: {0o100644: sum(c[1] for c in i["chunks"] or ()), 0o120777: 5}.get(i["mode"], 0)
+        return {
+            "path": r["path"], "size_diff": r["added"] - r["removed"], "size": size(b) if b else 0,
+            "user": (b or {}).get("user") or "", "group": (b or {}).get("group") or "",
+            "uid": -1 if not b or b["uid"] is None else b["uid"], "gid": -1 if not b or b["gid"] is None else b["gid"],
+            "ctime": ns(b, "ctime"), "mtime": ns(b, "mtime"), "ctime_diff": ns(b, "ctime") - ns(a, "ctime"), "mtime_diff": ns(b, "mtime") - ns(a, "mtime"),
+        }[key]
+
+    for key in diff.SORT_KEYS:
+        got = [r["path"] for r in diff.sorted_by(changes, [key]).collect()]
+        assert got == [r["path"] for r in sorted(rows, key=lambda r: value(key, r))], key
+    down = [r["path"] for r in diff.placed(changes, f"{tempfile.mkdtemp()}/x", 3, (">mtime_diff",)).orderBy("place").collect()]
+    assert down == [r["path"] for r in sorted(rows, key=lambda r: -value("mtime_diff", r))]
