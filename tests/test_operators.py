@@ -297,3 +297,16 @@ def test_diff_sort_keys(spark):
         assert got == [r["path"] for r in sorted(rows, key=lambda r: value(key, r))], key
     down = [r["path"] for r in diff.placed(changes, f"{tempfile.mkdtemp()}/x", 3, (">mtime_diff",)).orderBy("place").collect()]
     assert down == [r["path"] for r in sorted(rows, key=lambda r: -value("mtime_diff", r))]
+
+
+def test_diff_places_of_ties(spark):
+    paths = [f"p{i:03}" for i in range(200)]
+    rows = [(p, "added", 5, 0, 1, i % 3, 0, ("u",)) for i, p in enumerate(paths)]
+    schema = "path string, kind string, added bigint, removed bigint, order1 int, order2 bigint, order3 int, sort_values struct<user string>"
+    want = sorted(paths, key=lambda p: (int(p[1:]) % 3, p))
+    for turn in (rows, rows[::-1]):
+        changes = spark.createDataFrame(turn, schema)
+        assert [r["path"] for r in diff.reported(changes).collect()] == want
+        assert [r["path"] for r in diff.sorted_by(changes, [">user"]).collect()] == want
+        placed = diff.placed(changes, f"{tempfile.mkdtemp()}/x", 3, (">user",)).collect()
+        assert [r["path"] for r in sorted(placed, key=lambda r: r["place"])] == want
