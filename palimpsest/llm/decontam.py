@@ -48,6 +48,8 @@ RUN = 6
 FILTER_BITS = 27
 ROW_BITS = 15
 CACHE_WORDS = 400_000
+#: Bytes of text that are tokens at once; a longer text is worked on alone.
+TEXT_BYTES = 1 << 20
 
 # Unit words (fixed values).
 UNITS = frozenset(
@@ -202,7 +204,7 @@ def item_windows(items: DataFrame) -> DataFrame:
 
     def run(batches):
         lexicon = Lexicon()
-        for ids, text in common.rows_of(batches, ("id", "text"), "text"):
+        for ids, text in common.rows_of(batches, ("id", "text"), "text", TEXT_BYTES):
             t = Templates(text.to_pylist(), lexicon)
             names, rows = ids.to_pylist(), []
             for d, (a, b) in enumerate(zip(t.starts[:-1].tolist(), t.starts[1:].tolist(), strict=True)):
@@ -255,6 +257,26 @@ def window_filter(bench: DataFrame) -> np.ndarray:
     return out
 
 
+def _found(batches, sizes: list[int], bits: np.ndarray, lexicon: Lexicon):
+    # The bitmap folded to 20 bits, which a core's cache holds, looks first.
+    low = np.unpackbits(np.bitwise_or.reduce(bits.reshape(-1, 1 << 17), axis=0), bitorder="little").astype(bool)
+    for ids, text in common.rows_of(batches, ("id", "text"), "text", TEXT_BYTES):
+        t = Templates(text.to_pylist(), lexicon)
+        names, rows = ids.to_pylist(), []
+        for size in sizes:
+            for at, h, form, mask in t.windows(size):
+                maybe = np.flatnonzero(low[(h & np.uint64(0xFFFFF)).astype(np.int64)])
+                place = (h[maybe] & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+                there = maybe[(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)]
+                for i, x, f, m in zip(at[there].tolist(), h[there].view(np.int64).tolist(), form[there].tolist(), mask[there].tolist(), strict=True):
+                    d = int(t.doc[i])
+                    rows.append((names[d], i - int(t.starts[d]), size, x, f, t.slots(i, size, f, m), 0, 0))
+                    if len(rows) >= 50_000:
+                        yield _emit(rows)
+                        rows = []
+        yield _emit(rows)
+
+
 def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray) -> DataFrame:
     """Windows of documents whose hash may be one of the benchmark's, as the bitmap ``wanted`` says."""
     spark = docs.sparkSession
@@ -262,24 +284,7 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray) -> D
 
     def run(batches):
         lexicon = common.worker_state("lexicon", "", Lexicon)
-        bits = np.frombuffer(zlib.decompress(shared.value), np.uint8)
-        # The same folded to 20 bits, which a core's cache holds, looks first.
-        low = np.unpackbits(np.bitwise_or.reduce(bits.reshape(-1, 1 << 17), axis=0), bitorder="little").astype(bool)
-        for ids, text in common.rows_of(batches, ("id", "text"), "text"):
-            t = Templates(text.to_pylist(), lexicon)
-            names, rows = ids.to_pylist(), []
-            for size in sizes:
-                for at, h, form, mask in t.windows(size):
-                    maybe = np.flatnonzero(low[(h & np.uint64(0xFFFFF)).astype(np.int64)])
-                    place = (h[maybe] & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-                    there = maybe[(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)]
-                    for i, x, f, m in zip(at[there].tolist(), h[there].view(np.int64).tolist(), form[there].tolist(), mask[there].tolist(), strict=True):
-                        d = int(t.doc[i])
-                        rows.append((names[d], i - int(t.starts[d]), size, x, f, t.slots(i, size, f, m), 0, 0))
-                        if len(rows) >= 50_000:
-                            yield _emit(rows)
-                            rows = []
-            yield _emit(rows)
+        yield from _found(batches, sizes, np.frombuffer(zlib.decompress(shared.value), np.uint8), lexicon)
 
     return docs.where("id is not null").mapInArrow(run, _SCHEMA)
 

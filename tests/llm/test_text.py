@@ -432,3 +432,23 @@ def test_regions_are_skipped_and_nothing_near_is_lost(spark):
 def test_chi_square_quantiles():
     # Published table values.
     assert abs(ann.chi_square_quantile(0.95, 8) - 15.507) < 1e-3 and abs(ann.chi_square_quantile(0.9, 2) - 4.605) < 1e-3
+
+
+def test_decontamination_holds_the_tokens_of_one_step():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = random.Random(5)
+    texts = [" ".join(f"w{words.randrange(3000)}" for _ in range(200)) for _ in range(6000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    bits = np.full(1 << decontam.FILTER_BITS - 3, 0, np.uint8)
+    tracemalloc.start()
+    assert sum(b.num_rows for b in decontam._found([batch], [8], bits, decontam.Lexicon())) == 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 5 * decontam.TEXT_BYTES and peak < 120e6
+    bits[:] = 255
+    t = decontam.Templates(texts, decontam.Lexicon())
+    found = sum(b.num_rows for b in decontam._found([batch], [8], bits, decontam.Lexicon()))
+    assert found == sum(len(at) for at, *_ in t.windows(8)) > 0
