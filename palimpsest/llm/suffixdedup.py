@@ -15,8 +15,8 @@ equal bytes count between units; a unit finds its own contexts and strings again
 by 64-bit hashes. A key that a third of all rows hold thus makes as many
 requests as there are units, never as many as rows.
 
-A k-gram that occurs more than ``HOT`` times, as a separator does, may stand in
-as many different contexts. Its strings are asked for one by one, dealt by all
+A k-gram may stand in many different contexts, as a separator does. If units ask
+for more than ``HOT`` contexts of it, its strings are asked for one by one, dealt by all
 of their bytes, so no task sorts more than ``HOT`` contexts around one k-gram.
 
 Defined results: null text counts as empty; texts under LENGTH bytes lose
@@ -27,6 +27,7 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
@@ -52,7 +53,7 @@ PLACE_BITS = 22
 #: Depth of multikey quicksort in words of eight bytes, and groups that go to a trie at once.
 SHALLOW = 3
 SMALL = 48
-#: Occurrences of a k-gram beyond which its strings are dealt by their own bytes.
+#: Contexts of a k-gram, each counted once per unit, beyond which its strings are dealt by their own bytes.
 HOT = 4096
 #: Contexts whose strings are cut out at a time.
 CUT = 20_000
@@ -238,9 +239,14 @@ class Runs:
 
     def contexts(self, which: np.ndarray) -> np.ndarray:
         """(anchor, WIDTH) bytes with the k-gram at SPAN - 1, PAD outside its strings."""
-        at = self.place[which, None] - (SPAN - 1) + np.arange(WIDTH)
-        there = (at >= self.first[which, None]) & (at < self.last[which, None] + LENGTH)
-        return np.where(there, self.buf[np.clip(at, 0, len(self.buf) - 1)], PAD).astype(np.uint8)
+        place = self.place[which]
+        padded = np.full(len(self.buf) + 2 * WIDTH, PAD, np.uint8)
+        padded[SPAN - 1 : SPAN - 1 + len(self.buf)] = self.buf
+        out = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[place]
+        lead, end = ((x - place + SPAN - 1).astype(np.uint8)[:, None] for x in (self.first[which], self.last[which] + LENGTH))
+        column = np.arange(WIDTH, dtype=np.uint8)
+        out[(column < lead) | (column >= end)] = PAD
+        return out
 
 
 def strings_of(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -444,23 +450,39 @@ def _columns(payloads: list[bytes], *types: str) -> list[np.ndarray]:
     return [np.concatenate([x[i] for x in parts]) if parts else np.zeros(0, t if t != "?" else bool) for i, t in enumerate(types)]
 
 
+def _distinct(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many different values each group of neighbours has; groups begin at starts."""
+    sizes = np.diff(np.append(starts, len(values)))
+    out = sizes.copy()
+    several = np.flatnonzero(sizes > 1)
+    group = np.repeat(several, sizes[several])
+    own = values[np.repeat(sizes > 1, sizes)]
+    order = np.lexsort((own, group))
+    group, own = group[order], own[order]
+    new = np.ones(len(own), dtype=bool)
+    new[1:] = (group[1:] != group[:-1]) | (own[1:] != own[:-1])
+    out[several] = np.bincount(group[new], minlength=len(starts))[several]
+    return out
+
+
 def _ask_grams(n: int):
     def run(batches):
         for unit, _, blocks in _per_unit(batches):
-            grams, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            grams, owners, hashes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for block in blocks:
                 for ids, buf, off, _ in _steps(block):
                     runs = Runs(buf, off)
                     grams.append(runs.gram)
                     owners.append(ids[runs.doc])
-            grams, owners = np.concatenate(grams), np.concatenate(owners)
+                    hashes.append(runs.context_hashes() if len(runs.gram) else runs.gram)
+            grams, owners, hashes = np.concatenate(grams), np.concatenate(owners), np.concatenate(hashes)
             order = np.argsort(grams, kind="stable")
-            grams, owners = grams[order], owners[order]
+            grams, owners, hashes = grams[order], owners[order], hashes[order]
             head = np.ones(len(grams), dtype=bool)
             head[1:] = grams[1:] != grams[:-1]
             starts = np.flatnonzero(head)
             several = np.minimum.reduceat(owners, starts) != np.maximum.reduceat(owners, starts) if len(starts) else np.zeros(0, bool)
-            times = np.diff(np.append(starts, len(grams))).astype(np.uint32)
+            times = _distinct(hashes, starts).astype(np.uint32)
             grams = grams[starts]
             to = (grams % np.uint64(n)).astype(np.int64)
             by = np.argsort(to, kind="stable")
@@ -476,7 +498,7 @@ def _ask_grams(n: int):
 
 
 def _answer_grams(hot: int):
-    """Which of the k-grams also occur in another document, and which of them more than ``hot`` times."""
+    """Which of the k-grams also occur in another document, and which of them in more than ``hot`` contexts."""
 
     def run(batches):
         for _, told, _ in _per_unit(batches):
@@ -535,9 +557,13 @@ def _ask_contexts(n: int):
             split = _among(gram, hot)
             to = (gram % np.uint64(n)).astype(np.int64)
             rows = []
-            for k in np.unique(to[~split]).tolist():
-                own = np.flatnonzero((to == k) & ~split)
-                own = own[np.argsort(gram[own], kind="stable")]  # like contexts side by side
+            rest = np.flatnonzero(~split)
+            rest = rest[np.lexsort((gram[rest], to[rest]))]  # like contexts side by side
+            cuts = np.searchsorted(to[rest], np.arange(n + 1)).tolist()
+            for k in range(n):
+                own = rest[cuts[k] : cuts[k + 1]]
+                if not len(own):
+                    continue
                 rows.append((k, CONTEXTS, _pack(np.array([unit]), names[own], least[own], most[own] > least[own], context[own])))
             if split.any():
                 rows += _ask_strings(unit, n, *(x[split] for x in (gram, context, least, most)))
@@ -556,9 +582,12 @@ def _ask_strings(unit: int, n: int, gram: np.ndarray, context: np.ndarray, least
     row, offset, name = row[one], offset[one], name[one]
     to = (name % np.uint64(n)).astype(np.int64)
     out = []
-    for k in np.unique(to).tolist():
-        own = np.flatnonzero(to == k)
-        own = own[np.lexsort((offset[own], row[own]))]  # strings that overlap side by side
+    order = np.lexsort((offset, row, to))  # strings that overlap side by side
+    cuts = np.searchsorted(to[order], np.arange(n + 1)).tolist()
+    for k in range(n):
+        own = order[cuts[k] : cuts[k + 1]]
+        if not len(own):
+            continue
         strings = context[row[own, None], offset[own, None] + np.arange(LENGTH)]
         out.append((k, STRINGS, _pack(np.array([unit]), name[own], gram[row[own]], low[own], high[own] > low[own], strings)))
     return out
@@ -587,7 +616,19 @@ def _answer_runs(asked: list[list[np.ndarray]]) -> list[tuple[int, int, bytes]]:
     docs = np.concatenate([a[2] for a in asked])
     several = np.concatenate([a[3] for a in asked])
     contexts = np.concatenate([a[4] for a in asked]).reshape(-1, WIDTH)
-    row, offset, least = window_minima_by_gram(contexts, docs)
+    # Each context is sorted once, whatever number of units ask for it.
+    order = np.argsort(names, kind="stable")
+    head = np.ones(len(order), dtype=bool)
+    head[1:] = (names[order[1:]] != names[order[:-1]]) | (contexts[order[1:]] != contexts[order[:-1]]).any(axis=1)
+    starts = np.flatnonzero(head)
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(head) - 1
+    row, offset, least = window_minima_by_gram(contexts[order[starts]], np.minimum.reduceat(docs[order], starts))
+    first = np.searchsorted(row, np.arange(len(starts) + 1))
+    many = np.diff(first)[group]
+    row = np.repeat(np.arange(len(group)), many)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[group], many)
+    offset, least = offset[at], least[at]
     use = several[row] | (least < docs[row])
     row, offset, least = row[use], offset[use], least[use]
     head = np.ones(len(row), dtype=bool)
@@ -627,7 +668,7 @@ def _finish(keep_bytes: bool):
                         continue
                     split = _among(runs.gram, hot)
                     if split.any():
-                        one = Runs(part, part_off)
+                        one = copy.copy(runs)
                         one.keep(split)
                         who, start, h = one.string_hashes()
                         at = np.minimum(np.searchsorted(string, h), len(string) - 1)

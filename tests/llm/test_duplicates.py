@@ -334,3 +334,39 @@ def test_simhash_edges(spark, nothing, monkeypatch):
     monkeypatch.setattr(simhash, "TEXT_STEP", 37)
     monkeypatch.setattr(simhash, "COUNT_STEP", 5)
     assert simhash.fingerprint(text.encode()) == whole == brute_fingerprint(text)
+
+
+def test_suffix_dedup_counts_contexts_once_per_unit():
+    import numpy as np
+
+    text = b"A passage that many documents share, of a little more than fifty bytes. "
+    many = b"".join(b"%04d before the words of one separator ==================== and %04d after, all unlike" % (i, i) for i in range(300))
+    texts = [text] * 400 + [many]
+    block = suffixdedup._pack(np.arange(len(texts)), np.array([len(t) for t in texts]), np.frombuffer(b"".join(texts), np.uint8))
+    [out] = suffixdedup._ask_grams(1)([suffixdedup._batch([(0, suffixdedup.BLOCK, block)])])
+    _, grams, several, times = suffixdedup._unpack(out["payload"][0].as_py(), "<i8", "<u8", "?", "<u4")
+    runs = suffixdedup.Runs(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    own = np.isin(grams, runs.gram)
+    assert own.any() and several[own].all() and (times[own] == 1).all()
+    assert times.max() > 100
+
+
+def test_suffix_dedup_answers_of_equal_contexts():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(97, 100, (40, suffixdedup.WIDTH)).astype(np.uint8)
+    base[:, suffixdedup.SPAN - 1 : suffixdedup.SPAN - 1 + suffixdedup.GRAM] = 120
+    asked = []
+    for unit in range(5):
+        pick = rng.permutation(40)[:30]
+        names = pick.astype(np.uint64) % np.uint64(37)  # some names stand for two contexts
+        asked.append([np.array([unit]), names, rng.integers(0, 1000, 30), rng.random(30) < 0.2, base[pick].ravel()])
+    docs, several = np.concatenate([a[2] for a in asked]), np.concatenate([a[3] for a in asked])
+    row, offset, least = suffixdedup.window_minima(np.concatenate([a[4] for a in asked]).reshape(-1, suffixdedup.WIDTH), docs)
+    want = sorted((int(r) // 30, int(asked[r // 30][1][r % 30]), int(o), int(x)) for r, o, x in zip(row, offset, least) if several[r] or x < docs[r])
+    got = []
+    for unit, _, payload in suffixdedup._answer_runs(asked):
+        for name, o, size, x in zip(*suffixdedup._unpack(payload, "<u8", "u1", "u1", "<i8")):
+            got += [(unit, int(name), int(o) + i, int(x)) for i in range(size)]
+    assert sorted(got) == want and want
