@@ -4,9 +4,10 @@ Every string of ``LENGTH`` bytes has one anchor: the k-gram of smallest hash in
 it (a minimizer), so equal strings have equal anchors at equal places. The
 strings of one anchor overlap in a context of at most 84 bytes. Suffixes and
 reversed prefixes of contexts around the same k-gram are sorted: multikey
-quicksort by eight-byte words down to a shallow depth or to small groups, then
-blind tries order the groups that share a long prefix. Common prefix lengths of
-neighbours give, for each string, the smallest document it starts in.
+quicksort by eight-byte words down to a shallow depth, all groups of a depth at
+once, then blind tries order the groups that share a long prefix. Common prefix
+lengths of neighbours give, for each string, the smallest document it starts in.
+A context that is the only one around its k-gram needs no sorting.
 
 Documents are dealt to units by hash. A unit asks in two rounds, each key once
 per unit however often it occurs there: (a) which anchors also occur in another
@@ -31,7 +32,7 @@ import copy
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +51,10 @@ PAD = 0xFF  # never a byte of UTF-8
 #: Bytes of text that are worked on at once; places in it fit PLACE_BITS.
 STEP = 1 << 21
 PLACE_BITS = 22
-#: Depth of multikey quicksort in words of eight bytes, and groups that go to a trie at once.
-SHALLOW = 3
-SMALL = 48
+#: Bytes whose hashes are found at once; arrays of so many numbers stay in a core's cache.
+PIECE = 1 << 15
+#: Depth of multikey quicksort in words of eight bytes.
+SHALLOW = 4
 #: Contexts of a k-gram, each counted once per unit, beyond which its strings are dealt by their own bytes.
 HOT = 4096
 #: Contexts whose strings are cut out at a time.
@@ -143,26 +145,27 @@ def deep_shallow_order(rows: np.ndarray) -> np.ndarray:
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
     padded[:, :width] = rows
     words = padded.view(">u8").astype(np.uint64)
-    flat = np.ascontiguousarray(rows).tobytes()
-    out: list[np.ndarray] = []
-    todo = [(np.arange(n), 0)]
-    while todo:
-        own, depth = todo.pop()
-        if len(own) <= 1:
-            out.append(own)
-        elif len(own) <= SMALL or depth == min(SHALLOW, words.shape[1]):
-            names = own.tolist()
-            trie = _Blind([flat[i * width : (i + 1) * width] for i in names])
-            for k in range(len(names)):
+    order, start = np.arange(n), np.zeros(n, np.int64)  # start: of each place's group
+    tied = np.arange(n if n > 1 else 0)  # places in groups of several rows
+    for depth in range(min(SHALLOW, words.shape[1])):
+        own, key = start[tied], words[order[tied], depth]
+        by = np.lexsort((key, own)) if depth else np.argsort(key)
+        order[tied], key = order[tied[by]], key[by]
+        head = np.ones(len(tied), dtype=bool)
+        head[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
+        start[tied] = np.repeat(tied[head], np.diff(np.append(np.flatnonzero(head), len(tied))))
+        head = np.append(head, True)
+        tied = tied[~(head[:-1] & head[1:])]
+    if len(tied):
+        flat = np.ascontiguousarray(rows[order[tied]]).tobytes()
+        cuts = np.append(np.flatnonzero(np.diff(start[tied], prepend=-1)), len(tied)).tolist()
+        names = order[tied]
+        for a, b in zip(cuts, cuts[1:]):
+            trie = _Blind([flat[i * width : (i + 1) * width] for i in range(a, b)])
+            for k in range(b - a):
                 trie.add(k)
-            out.append(own[np.fromiter(trie.order(), np.int64, len(own))])
-        else:
-            key = words[own, depth]
-            pivot = np.partition(key[:: max(1, len(key) // 31)], min(15, len(key) // 2))[min(15, len(key) // 2)] if len(key) > 31 else key[0]
-            todo.append((own[key > pivot], depth))
-            todo.append((own[key == pivot], depth + 1))
-            todo.append((own[key < pivot], depth))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+            order[tied[a:b]] = names[a:b][list(trie.order())]
+    return order
 
 
 def common_prefixes(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -178,6 +181,29 @@ def common_prefixes(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
 # Anchors
 
 
+def _minimizers(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every k-gram, and for every string the place of its k-gram of smallest hash, the first of equals."""
+    n = len(buf) - LENGTH + 1
+    grams, places = np.empty(len(buf) - GRAM + 1, np.uint64), np.empty(n, np.int32)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    for at in range(0, n, PIECE):
+        to = min(n, at + PIECE)
+        h, size = _BYTE[buf[at : to + LENGTH - 1]], 1
+        while size < GRAM:
+            h = h[:-size] * _power(size) + h[size:]
+            size *= 2
+        grams[at : at + len(h)] = h = _mix(h)
+        least = (h & ~low) | np.arange(at, at + len(h), dtype=np.uint64)
+        size = 1
+        while 2 * size <= SPAN:
+            least = np.minimum(least[:-size], least[size:])
+            size *= 2
+        if size < SPAN:
+            least = np.minimum(least[: len(least) - (SPAN - size)], least[SPAN - size :])
+        places[at:to] = least & low
+    return grams, places
+
+
 class Runs:
     """Anchors of some texts: for each, the run of strings (first..last start) that it stands for."""
 
@@ -189,20 +215,7 @@ class Runs:
             self.first = self.last = self.place = np.zeros(0, np.int64)
             self.doc, self.gram = np.zeros(0, np.int32), np.zeros(0, np.uint64)
             return
-        c = _BYTE[buf]
-        h, size = c, 1
-        while size < GRAM:
-            h = h[:-size] * _power(size) + h[size:]
-            size *= 2
-        gram = _mix(h)
-        least = (gram >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | np.arange(len(gram), dtype=np.uint64)
-        size = 1
-        while 2 * size <= SPAN:
-            least = np.minimum(least[:-size], least[size:])
-            size *= 2
-        if size < SPAN:
-            least = np.minimum(least[: len(least) - (SPAN - size)], least[SPAN - size :])
-        place = (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        gram, place = _minimizers(buf)
         own = doc[: len(place)]
         inside = own == doc[LENGTH - 1 :]
         edge = np.ones(len(place), dtype=bool)
@@ -211,17 +224,27 @@ class Runs:
         last[:-1] = edge[1:] | ~inside[1:]
         edge[1:] |= ~inside[:-1]
         self.first, self.last = np.flatnonzero(edge & inside), np.flatnonzero(last & inside)
-        self.place, self.doc = place[self.first], own[self.first]
+        self.place, self.doc = place[self.first].astype(np.int64), own[self.first]
         self.gram = gram[self.place]
 
     def keep(self, which: np.ndarray) -> None:
         self.first, self.last, self.place, self.doc, self.gram = (x[which] for x in (self.first, self.last, self.place, self.doc, self.gram))
 
+    @cached_property
+    def prefix(self) -> np.ndarray:
+        """Weighted sums of the bytes before each place."""
+        weights = _weights()[0]
+        out = np.zeros(len(self.buf) + 1, np.uint64)
+        for at in range(0, len(self.buf), PIECE):
+            to = min(len(self.buf), at + PIECE)
+            sums = _BYTE[self.buf[at:to]] * weights[at:to]
+            sums[:1] += out[at]
+            np.cumsum(sums, out=out[at + 1 : to + 1])
+        return out
+
     def context_hashes(self) -> np.ndarray:
         """64-bit hash of each anchor's context and its place in it."""
-        weights, back = _weights()
-        prefix = np.zeros(len(self.buf) + 1, np.uint64)
-        prefix[1:] = np.cumsum(_BYTE[self.buf] * weights[: len(self.buf)], dtype=np.uint64)
+        prefix, back = self.prefix, _weights()[1]
         a, b = self.first, self.last + LENGTH
         h = (prefix[b] - prefix[a]) * back[a]
         shape = ((self.place - a) * 128 + (b - a)).astype(np.uint64)
@@ -229,9 +252,7 @@ class Runs:
 
     def string_hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(anchor, start, 64-bit hash) of every string of the anchors."""
-        weights, back = _weights()
-        prefix = np.zeros(len(self.buf) + 1, np.uint64)
-        prefix[1:] = np.cumsum(_BYTE[self.buf] * weights[: len(self.buf)], dtype=np.uint64)
+        prefix, back = self.prefix, _weights()[1]
         many = self.last - self.first + 1
         who = np.repeat(np.arange(len(many)), many)
         start = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many) + self.first[who]
@@ -283,6 +304,20 @@ def string_minima(strings: np.ndarray, names: np.ndarray, docs: np.ndarray) -> n
     return out
 
 
+def _spans(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offset of the first string in each context, and how many strings it has."""
+    real = contexts != PAD
+    lead = real.argmax(axis=1)
+    return lead, np.maximum(WIDTH - real[:, ::-1].argmax(axis=1) - lead - LENGTH + 1, 0)
+
+
+def _numbered(many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number in it) of the elements of rows with so many each, and where each row's begin."""
+    first = np.cumsum(many) - many
+    row = np.repeat(np.arange(len(many)), many)
+    return row, np.arange(len(row)) - first[row], first
+
+
 def window_minima(contexts: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, offset, smallest document) of every string in contexts around the same k-grams."""
     n = len(contexts)
@@ -291,12 +326,12 @@ def window_minima(contexts: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, n
     for part in (right, left):
         order = deep_shallow_order(part)
         classes.append((order, common_prefixes(part, order)))
-    real = contexts != PAD
-    lead = real.argmax(axis=1)
-    end = WIDTH - real[:, ::-1].argmax(axis=1)
-    found = []
+    lead, many = _spans(contexts)
+    row, offset, first = _numbered(many)
+    offset += lead[row]
+    least = np.empty(len(row), np.int64)
     for o in range(SPAN):
-        rows = np.flatnonzero((lead <= o) & (o + LENGTH <= end))
+        rows = np.flatnonzero((lead <= o) & (o < lead + many))
         if not len(rows):
             continue
         key = np.zeros(n, np.int64)
@@ -305,35 +340,34 @@ def window_minima(contexts: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, n
             own[order] = np.cumsum(lcp < size)
             key = key * (n + 1) + own
         key = key[rows]
-        by = np.argsort(key, kind="stable")
-        head = np.ones(len(by), dtype=bool)
-        head[1:] = key[by][1:] != key[by][:-1]
-        least = np.minimum.reduceat(docs[rows][by], np.flatnonzero(head))
-        each = np.empty(len(rows), np.int64)
-        each[by] = least[np.cumsum(head) - 1]
-        found.append((rows, np.full(len(rows), o, np.int64), each))
-    if not found:
-        return (np.zeros(0, np.int64),) * 3
-    rows, offsets, least = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((offsets, rows))
-    return rows[order], offsets[order], least[order]
+        by = np.argsort(key)
+        key, rows = key[by], rows[by]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        least[first[rows] + o - lead[rows]] = np.repeat(np.minimum.reduceat(docs[rows], starts), np.diff(np.append(starts, len(rows))))
+    return row, offset, least
 
 
 def window_minima_by_gram(contexts: np.ndarray, docs: np.ndarray, most: int = 40_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """window_minima over whole k-gram groups, about ``most`` contexts at a time."""
+    """window_minima over whole k-gram groups, about ``most`` contexts at a time; a context alone in its group has its own document."""
     head = np.ascontiguousarray(contexts[:, SPAN - 1 : SPAN + 7]).view(np.uint64).ravel()
-    order = np.argsort(head, kind="stable")
+    order = np.argsort(head)
+    new = np.concatenate([[True], head[order][1:] != head[order][:-1], [True]])
+    order = order[~(new[:-1] & new[1:])]
+    lead, many = _spans(contexts)
+    row, offset, first = _numbered(many)
+    offset += lead[row]
+    least = docs[row]
     edges = np.flatnonzero(np.diff(head[order])) + 1
-    out, at = [], 0
+    at = 0
     while at < len(order):
         i = int(np.searchsorted(edges, at + most))
         to = int(edges[i]) if i < len(edges) else len(order)
-        row, offset, least = window_minima(contexts[order[at:to]], docs[order[at:to]])
-        out.append((order[at:to][row], offset, least))
+        own = order[at:to]
+        part, place, low = window_minima(contexts[own], docs[own])
+        part = own[part]
+        least[first[part] + place - lead[part]] = low
         at = to
-    row, offset, least = (np.concatenate(x) for x in zip(*out, strict=True))
-    by_row = np.lexsort((offset, row))
-    return row[by_row], offset[by_row], least[by_row]
+    return row, offset, least
 
 
 # Rows between units
@@ -476,7 +510,7 @@ def _ask_grams(n: int):
                     owners.append(ids[runs.doc])
                     hashes.append(runs.context_hashes() if len(runs.gram) else runs.gram)
             grams, owners, hashes = np.concatenate(grams), np.concatenate(owners), np.concatenate(hashes)
-            order = np.argsort(grams, kind="stable")
+            order = np.argsort(grams)
             grams, owners, hashes = grams[order], owners[order], hashes[order]
             head = np.ones(len(grams), dtype=bool)
             head[1:] = grams[1:] != grams[:-1]
@@ -539,7 +573,7 @@ def _ask_contexts(n: int):
                     h = runs.context_hashes()
                     _, first = np.unique(h, return_index=True)
                     new = first[~_among(h[first], seen)]
-                    seen = np.union1d(seen, h[new])
+                    seen = np.sort(np.concatenate([seen, h[new]]))
                     hashes.append(h)
                     docs.append(ids[runs.doc])
                     grams.append((h[new], runs.gram[new]))
@@ -619,7 +653,8 @@ def _answer_runs(asked: list[list[np.ndarray]]) -> list[tuple[int, int, bytes]]:
     # Each context is sorted once, whatever number of units ask for it.
     order = np.argsort(names, kind="stable")
     head = np.ones(len(order), dtype=bool)
-    head[1:] = (names[order[1:]] != names[order[:-1]]) | (contexts[order[1:]] != contexts[order[:-1]]).any(axis=1)
+    same = np.flatnonzero(names[order[1:]] == names[order[:-1]]) + 1
+    head[same] = (contexts[order[same]] != contexts[order[same - 1]]).any(axis=1)
     starts = np.flatnonzero(head)
     group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(head) - 1
@@ -655,6 +690,8 @@ def _finish(keep_bytes: bool):
             names, offset, size, least = _columns(told[CONTEXTS], "<u8", "u1", "u1", "<i8")
             order = np.argsort(names, kind="stable")
             names, offset, size, least = names[order], offset[order].astype(np.int64), size[order].astype(np.int64), least[order]
+            starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
+            names, each = names[starts], np.diff(np.append(starts, len(names)))
             string, hot, string_least = _columns(told[STRINGS], "<u8", "<u8", "<i8")
             order, hot = np.argsort(string, kind="stable"), np.unique(hot)
             string, string_least = string[order], string_least[order]
@@ -666,31 +703,29 @@ def _finish(keep_bytes: bool):
                     runs = Runs(part, part_off)
                     if not len(runs.gram):
                         continue
-                    split = _among(runs.gram, hot)
+                    h, split = runs.context_hashes(), _among(runs.gram, hot)
                     if split.any():
                         one = copy.copy(runs)
                         one.keep(split)
-                        who, start, h = one.string_hashes()
-                        at = np.minimum(np.searchsorted(string, h), len(string) - 1)
-                        earlier = (string[at] == h) & (string_least[at] < owner[one.doc[who]])
+                        who, start, own = one.string_hashes()
+                        at = np.minimum(np.searchsorted(string, own), len(string) - 1)
+                        earlier = (string[at] == own) & (string_least[at] < owner[one.doc[who]])
                         who, start = who[earlier], start[earlier]
                         start = start + place[one.doc[who]] - part_off[one.doc[who]]
                         np.add.at(cover, start, 1)
                         np.add.at(cover, start + LENGTH, -1)
                     if not len(names):
                         continue
-                    h = runs.context_hashes()
-                    low, high = np.searchsorted(names, h, side="left"), np.searchsorted(names, h, side="right")
-                    many = high - low
-                    hit = np.repeat(np.arange(len(h)), many)
-                    which = np.arange(len(hit)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+                    at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+                    hit, which, _ = _numbered(np.where(names[at] == h, each[at], 0))
+                    which += starts[at[hit]]
                     earlier = least[which] < owner[runs.doc[hit]]
                     hit, which = hit[earlier], which[earlier]
                     shift = place[runs.doc[hit]] - part_off[runs.doc[hit]]
                     start = runs.place[hit] - (SPAN - 1) + offset[which] + shift
                     np.add.at(cover, start, 1)
                     np.add.at(cover, start + size[which] - 1 + LENGTH, -1)
-                gone = np.cumsum(cover[:-1]) > 0
+                gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
                 rows = []
                 for i in range(len(ids)):
                     g, b = gone[off[i] : off[i + 1]], buf[off[i] : off[i + 1]]

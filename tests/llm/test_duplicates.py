@@ -370,3 +370,66 @@ def test_suffix_dedup_answers_of_equal_contexts():
         for name, o, size, x in zip(*suffixdedup._unpack(payload, "<u8", "u1", "u1", "<i8")):
             got += [(unit, int(name), int(o) + i, int(x)) for i in range(size)]
     assert sorted(got) == want and want
+
+
+def test_suffix_dedup_sorts_only_what_needs_it(monkeypatch):
+    """Blind tries get rows that share a long prefix; contexts alone around their k-gram are not sorted."""
+    rng = np.random.default_rng(4)
+    blind, tried = suffixdedup._Blind, []
+    monkeypatch.setattr(suffixdedup, "_Blind", lambda strings: tried.append(len(strings)) or blind(strings))
+    deep = 8 * suffixdedup.SHALLOW
+    rows = rng.integers(0, 4, (1000, 50)).astype(np.uint8)
+    rows[900:, :deep] = rows[:100, :deep]
+    rows[990:] = rows[:10]
+    strings = [rows[i].tobytes() for i in suffixdedup.deep_shallow_order(rows)]
+    assert strings == sorted(r.tobytes() for r in rows) and sorted(tried) == [2] * 80 + [3] * 10
+    for few in (rows[:0], rows[:1], rows[:30, :5], np.repeat(rows[:2], 40, axis=0)):
+        order = suffixdedup.deep_shallow_order(few)
+        assert sorted(order.tolist()) == list(range(len(few)))
+        assert [few[i].tobytes() for i in order] == sorted(r.tobytes() for r in few)
+
+    sort, asked = suffixdedup.deep_shallow_order, []
+    monkeypatch.setattr(suffixdedup, "deep_shallow_order", lambda rows: asked.append(len(rows)) or sort(rows))
+    contexts = rng.integers(0, 4, (200, suffixdedup.WIDTH)).astype(np.uint8)
+    contexts[:50, 34:50] = contexts[50:100, 34:50]
+    docs = rng.integers(0, 1000, 200)
+    got = suffixdedup.window_minima_by_gram(contexts, docs)
+    assert asked == [100, 100]
+    assert all((x == y).all() for x, y in zip(got, suffixdedup.window_minima(contexts, docs), strict=True))
+
+
+@pytest.mark.parametrize("piece", [1, 40, 1 << 15])
+def test_suffix_dedup_anchors_in_pieces(monkeypatch, piece):
+    monkeypatch.setattr(suffixdedup, "PIECE", piece)
+    buf = np.random.default_rng(6).integers(97, 99, 300).astype(np.uint8)
+    gram, place = suffixdedup._minimizers(buf)
+    own = {}
+    for i, h in enumerate(gram.tolist()):
+        assert own.setdefault(buf[i : i + suffixdedup.GRAM].tobytes(), h) == h
+    assert len(set(own.values())) == len(own) and len(gram) == 300 - suffixdedup.GRAM + 1
+    rank = gram >> np.uint64(suffixdedup.PLACE_BITS)
+    assert place.tolist() == [s + int(rank[s : s + suffixdedup.SPAN].argmin()) for s in range(300 - suffixdedup.LENGTH + 1)]
+    runs = suffixdedup.Runs(buf, np.array([0, 120, 300]))
+    weights = [pow(suffixdedup._MUL, i, 1 << 64) for i in range(300)]
+    sums = [sum(int(suffixdedup._BYTE[b]) * w for b, w in zip(buf[:i].tolist(), weights)) % (1 << 64) for i in range(301)]
+    assert runs.prefix.tolist() == sums
+
+
+def test_suffix_dedup_merges_contexts_by_sorting(monkeypatch):
+    """A unit's contexts are cut out once over all of its steps, without a table that is hashed anew at each step."""
+    monkeypatch.setattr(np, "union1d", None)
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(200)) for _ in range(40)]
+    texts += texts[:25]
+    block = suffixdedup._pack(np.arange(len(texts)), np.array([len(t) for t in texts]), np.frombuffer("".join(texts).encode(), np.uint8))
+    rows = [(0, suffixdedup.BLOCK, block)]
+    [grams] = suffixdedup._ask_grams(1)([suffixdedup._batch(rows)])
+    [told] = suffixdedup._answer_grams(suffixdedup.HOT)([grams])
+    rows = [tuple(r.values()) for r in told.to_pylist()] + rows
+    out = []
+    for step in (1 << 21, 1000):
+        monkeypatch.setattr(suffixdedup, "STEP", step)
+        [asked] = suffixdedup._ask_contexts(1)([suffixdedup._batch(rows)])
+        out.append([x.tolist() for x in suffixdedup._unpack(asked["payload"][0].as_py(), "<i8", "<u8", "<i8", "?", "u1")])
+    assert len(set(out[0][1])) == len(out[0][1]) and [sorted(x) for x in out[0][:4]] == [sorted(x) for x in out[1][:4]]
+    assert min(out[0][2]) == 0 and max(out[0][2]) == 24 and all(out[0][3])
