@@ -16,6 +16,12 @@ equal bytes count between units; a unit finds its own contexts and strings again
 by 64-bit hashes. A key that a third of all rows hold thus makes as many
 requests as there are units, never as many as rows.
 
+Many texts share a k-gram by chance. A string of LENGTH bytes also holds HALF
+bytes behind its anchor or one more before it, so (a) asks for these longer
+grams as well, and (b) only for contexts that have a shared one. Requests of (b)
+come in rounds, each of a part of the k-grams, so that those of one round take
+about ROUND times the input's bytes of disk, however much the texts share.
+
 A k-gram may stand in many different contexts, as a separator does. If units ask
 for more than ``HOT`` contexts of it, its strings are asked for one by one, dealt by all
 of their bytes, so no task sorts more than ``HOT`` contexts around one k-gram.
@@ -47,6 +53,8 @@ GRAM = 16
 #: k-grams in a string, and so the most strings that one anchor may have.
 SPAN = LENGTH - GRAM + 1
 WIDTH = LENGTH + SPAN - 1
+#: A string holds so many bytes behind its anchor, or one more before it.
+HALF = (LENGTH - GRAM) // 2
 PAD = 0xFF  # never a byte of UTF-8
 #: Bytes of text that are worked on at once; places in it fit PLACE_BITS.
 STEP = 1 << 21
@@ -59,6 +67,10 @@ SHALLOW = 4
 HOT = 4096
 #: Contexts whose strings are cut out at a time.
 CUT = 20_000
+#: Bytes of requests for contexts in one round, as a part of the input's bytes.
+ROUND = 1.0
+#: Bytes of requests for contexts that a byte of the answers before them stands for.
+PER_BYTE = 12
 
 _MUL = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(50).integers(1, 2**63, 256, dtype=np.uint64)
@@ -250,6 +262,15 @@ class Runs:
         shape = ((self.place - a) * 128 + (b - a)).astype(np.uint64)
         return _mix(h * _power(1) + _mix(shape + np.uint64(1)))
 
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """(anchor, 64-bit hash) of its k-gram with HALF bytes behind it or HALF + 1 before it; each string holds one of these."""
+        prefix, back = self.prefix, _weights()[1]
+        behind, before = np.flatnonzero(self.last >= self.place - HALF), np.flatnonzero(self.first < self.place - HALF)
+        a, b = self.place[behind], self.place[before] - HALF - 1
+        right = (prefix[a + GRAM + HALF] - prefix[a]) * back[a]
+        left = (prefix[b + HALF + 1 + GRAM] - prefix[b]) * back[b]
+        return np.concatenate([behind, before]), np.concatenate([_mix(right), _mix(~left)])
+
     def string_hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(anchor, start, 64-bit hash) of every string of the anchors."""
         prefix, back = self.prefix, _weights()[1]
@@ -394,6 +415,15 @@ def _unpack(payload: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
+def _gaps(values: np.ndarray) -> np.ndarray:
+    """Sorted 32-bit numbers as bytes that compress; _sums returns them."""
+    return np.ascontiguousarray(np.diff(values, prepend=values[:1] * 0).astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
+
+
+def _sums(gaps: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(gaps.reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
+
+
 def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
     for batch in batches:
         yield from zip(*(common.column(batch, c).to_pylist() for c in ("unit", "kind", "payload")), strict=True)
@@ -461,17 +491,17 @@ def _answered(packed: DataFrame, answers: DataFrame | None, n: int) -> DataFrame
     return both.repartitionById(n, F.col("unit")).sortWithinPartitions("unit", "kind")
 
 
-#: Kinds of rows: about strings, about contexts (and k-grams), and documents, in the order in which a unit meets them.
-STRINGS, CONTEXTS, BLOCK = -1, 0, 1
+#: Kinds of rows: about keys of anchors, strings, contexts (and k-grams), and documents, in the order in which a unit meets them.
+KEYS, STRINGS, CONTEXTS, BLOCK = -2, -1, 0, 1
 
 
 def _per_unit(batches):
     """(unit, what it was told by kind, blocks); rows come sorted."""
-    unit, told, blocks = None, {STRINGS: [], CONTEXTS: []}, []
+    unit, told, blocks = None, {KEYS: [], STRINGS: [], CONTEXTS: []}, []
     for u, kind, payload in _rows(batches):
         if u != unit and unit is not None:
             yield unit, told, blocks
-            told, blocks = {STRINGS: [], CONTEXTS: []}, []
+            told, blocks = {KEYS: [], STRINGS: [], CONTEXTS: []}, []
         unit = u
         (blocks if kind == BLOCK else told[kind]).append(payload)
     if unit is not None:
@@ -503,12 +533,17 @@ def _ask_grams(n: int):
     def run(batches):
         for unit, _, blocks in _per_unit(batches):
             grams, owners, hashes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            keys, holders = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for block in blocks:
                 for ids, buf, off, _ in _steps(block):
                     runs = Runs(buf, off)
                     grams.append(runs.gram)
                     owners.append(ids[runs.doc])
                     hashes.append(runs.context_hashes() if len(runs.gram) else runs.gram)
+                    if len(runs.gram):
+                        who, key = runs.keys()
+                        keys.append(key)
+                        holders.append(ids[runs.doc[who]])
             grams, owners, hashes = np.concatenate(grams), np.concatenate(owners), np.concatenate(hashes)
             order = np.argsort(grams)
             grams, owners, hashes = grams[order], owners[order], hashes[order]
@@ -526,48 +561,91 @@ def _ask_grams(n: int):
                 own = by[cuts[k] : cuts[k + 1]]
                 if len(own):
                     rows.append((k, CONTEXTS, _pack(np.array([unit]), grams[own], several[own], times[own])))
-            yield _batch(rows)
+            del grams, owners, hashes, order, head, starts, several, times
+            yield _batch(rows + _ask_keys(unit, n, np.concatenate(keys), np.concatenate(holders)))
 
     return run
 
 
+def _ask_keys(unit: int, n: int, keys: np.ndarray, holders: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Requests for keys, each once: dealt by one half of the hash, told apart by the other, as equal ones only cost work."""
+    if not len(keys):
+        return []
+    order = np.argsort(keys)
+    keys, holders = keys[order], holders[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    several = np.minimum.reduceat(holders, starts) != np.maximum.reduceat(holders, starts)
+    keys = keys[starts]
+    to, low = ((keys >> np.uint64(32)) % np.uint64(n)).astype(np.int64), keys.astype(np.uint32)
+    order = np.argsort(to << 32 | low)
+    cuts = np.searchsorted(to[order], np.arange(n + 1))
+    parts = ((k, order[cuts[k] : cuts[k + 1]]) for k in range(n))
+    return [(k, KEYS, _pack(np.array([unit]), _gaps(low[own]), several[own])) for k, own in parts if len(own)]
+
+
+def _in_groups(values: np.ndarray, *numbers: np.ndarray) -> list[np.ndarray]:
+    """For each element, the sums of numbers over the elements of equal value."""
+    order = np.argsort(values, kind="stable")
+    head = np.ones(len(order), dtype=bool)
+    head[1:] = values[order[1:]] != values[order[:-1]]
+    starts, group = np.flatnonzero(head), np.empty(len(order), np.int64)
+    group[order] = np.cumsum(head) - 1
+    return [np.add.reduceat(x[order], starts, dtype=np.int64)[group] for x in numbers]
+
+
 def _answer_grams(hot: int):
-    """Which of the k-grams also occur in another document, and which of them in more than ``hot`` contexts."""
+    """Which of the keys also occur in another document, and which of the k-grams in others in more than ``hot`` contexts."""
 
     def run(batches):
         for _, told, _ in _per_unit(batches):
-            asked = [_unpack(x, "<i8", "<u8", "?", "<u4") for x in told[CONTEXTS]]
-            grams, several, times = (np.concatenate([a[i] for a in asked]) for i in (1, 2, 3))
-            order = np.argsort(grams, kind="stable")
-            head = np.ones(len(order), dtype=bool)
-            head[1:] = grams[order][1:] != grams[order][:-1]
-            starts, group = np.flatnonzero(head), np.cumsum(head) - 1
-            shared = np.add.reduceat(several[order] + 1, starts) > 1
-            often = np.add.reduceat(times[order].astype(np.int64), starts) > hot
-            flag = np.empty((2, len(order)), dtype=bool)
-            flag[:, order] = shared[group], often[group]
-            at, rows = 0, []
-            for unit, g, *_ in asked:
-                own, much = flag[:, at : at + len(g)]
-                at += len(g)
-                if own.any():
-                    rows.append((int(unit[0]), CONTEXTS, _pack(g[own], much[own])))
+            rows = []
+            if told[CONTEXTS]:
+                asked = [_unpack(x, "<i8", "<u8", "?", "<u4") for x in told[CONTEXTS]]
+                grams, several, times = (np.concatenate([a[i] for a in asked]) for i in (1, 2, 3))
+                shared, times = _in_groups(grams, several.astype(np.int8) + 1, times)
+                rows += _told(CONTEXTS, asked, grams, (shared > 1) & (times > hot), lambda x: x)
+            if told[KEYS]:
+                asked = [_unpack(x, "<i8", "u1", "?") for x in told[KEYS]]
+                asked = [(unit, _sums(gaps), several) for unit, gaps, several in asked]
+                keys, several = (np.concatenate([a[i] for a in asked]) for i in (1, 2))
+                [shared] = _in_groups(keys, several.astype(np.int8) + 1)
+                rows += _told(KEYS, asked, keys, shared > 1, _gaps)
             yield _batch(rows)
 
     return run
 
 
-def _ask_contexts(n: int):
+def _told(kind: int, asked: list, values: np.ndarray, flag: np.ndarray, form) -> list[tuple[int, int, bytes]]:
+    """The flagged values to each unit that asked for them."""
+    at, rows = 0, []
+    for unit, own, *_ in asked:
+        part = slice(at, at + len(own))
+        at += len(own)
+        if flag[part].any():
+            rows.append((int(unit[0]), kind, _pack(form(values[part][flag[part]]))))
+    return rows
+
+
+def _ask_contexts(n: int, turn: int = 0, turns: int = 1):
+    """Requests for contexts of anchors that have a shared key; those of one k-gram come in one turn."""
+
     def run(batches):
         for unit, told, blocks in _per_unit(batches):
-            shared, often = _columns(told[CONTEXTS], "<u8", "?")
-            hot, shared = np.sort(shared[often]), np.sort(shared)
+            hot = np.sort(_columns(told[CONTEXTS], "<u8")[0])
+            shared = np.sort(np.concatenate([np.zeros(0, np.uint32), *(_sums(_unpack(x, "u1")[0]) for x in told[KEYS])]))
             hashes, docs, grams, contexts = [], [], [], []
             seen = np.zeros(0, np.uint64)
             for block in blocks:
                 for ids, buf, off, _ in _steps(block):
                     runs = Runs(buf, off)
-                    runs.keep(_among(runs.gram, shared))
+                    if turns > 1:
+                        runs.keep(runs.gram // np.uint64(n) % np.uint64(turns) == turn)
+                    if not len(runs.gram):
+                        continue
+                    who, key = runs.keys()
+                    own = np.zeros(len(runs.gram), dtype=bool)
+                    own[who[_among(key.astype(np.uint32), shared)]] = True
+                    runs.keep(own)
                     if not len(runs.gram):
                         continue
                     h = runs.context_hashes()
@@ -739,8 +817,17 @@ def _finish(keep_bytes: bool):
     return run
 
 
-def dedup(docs: DataFrame, keep_bytes: bool = True, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes, per row."""
+def _rounds(shared: DataFrame, size: int) -> int:
+    """Rounds in which contexts are asked for, so that the requests of one stay near ROUND times the input."""
+    told = shared.where(F.col("kind") == KEYS).agg(F.sum(F.octet_length("payload"))).first()[0] or 0
+    return max(1, -(-told * PER_BYTE // max(int(size * ROUND), 64 << 20)))
+
+
+def dedup(docs: DataFrame, keep_bytes: bool = True, hot: int = HOT, rounds: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes, per row.
+
+    rounds: how often contexts are asked for, a part of the k-grams each time; found from the input if not given.
+    """
     spark = docs.sparkSession
     common.ship(spark)
     n = common.parts_for(docs.select("doc_id", "text"))
@@ -748,8 +835,12 @@ def dedup(docs: DataFrame, keep_bytes: bool = True, hot: int = HOT) -> DataFrame
     deal = lambda df: df.repartitionById(n, F.col("unit")).sortWithinPartitions("unit", "kind")
     asked = _answered(packed, None, n).mapInArrow(_ask_grams(n), _ROWS)
     shared = common.save(deal(asked).mapInArrow(_answer_grams(hot), _ROWS), "shared")
-    asked = _answered(packed, shared, n).mapInArrow(_ask_contexts(n), _ROWS)
-    least = common.save(deal(asked).mapInArrow(_answer_contexts, _ROWS), "least")
+    rounds = rounds or _rounds(shared, common.input_bytes(docs.select("doc_id", "text")))
+    least = None
+    for turn in range(rounds):
+        asked = _answered(packed, shared, n).mapInArrow(_ask_contexts(n, turn, rounds), _ROWS)
+        own = common.save(deal(asked).mapInArrow(_answer_contexts, _ROWS), "least")
+        least = own if least is None else least.unionByName(own)
     common.discard(shared)
     done = _answered(packed, least, n).mapInArrow(_finish(keep_bytes), _RESULT)
     whole = docs.where("doc_id is null").select(F.lit(None).cast("bigint").alias("doc_id"), common.utf8("text").cast("binary").alias("b"))

@@ -433,3 +433,41 @@ def test_suffix_dedup_merges_contexts_by_sorting(monkeypatch):
         out.append([x.tolist() for x in suffixdedup._unpack(asked["payload"][0].as_py(), "<i8", "<u8", "<i8", "?", "u1")])
     assert len(set(out[0][1])) == len(out[0][1]) and [sorted(x) for x in out[0][:4]] == [sorted(x) for x in out[1][:4]]
     assert min(out[0][2]) == 0 and max(out[0][2]) == 24 and all(out[0][3])
+
+
+def test_suffix_dedup_asks_only_for_what_may_repeat(spark):
+    """K-grams that stand in many documents, before and behind other bytes each time, make no requests for contexts."""
+    rnd = random.Random(11)
+    some = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    grams = [some(24) for _ in range(20)]
+    texts = ["".join(some(20) + rnd.choice(grams) for _ in range(10)) for _ in range(60)]
+
+    def asked(texts):
+        block = suffixdedup._pack(np.arange(len(texts)), np.array([len(t) for t in texts]), np.frombuffer("".join(texts).encode(), np.uint8))
+        [grams] = suffixdedup._ask_grams(1)([suffixdedup._batch([(0, suffixdedup.BLOCK, block)])])
+        told = [r for batch in suffixdedup._answer_grams(suffixdedup.HOT)([grams]) for r in batch.to_pylist()]
+        rows = [tuple(r.values()) for r in told] + [(0, suffixdedup.BLOCK, block)]
+        return sum(len(suffixdedup._unpack(x, "<i8", "<u8", "<i8", "?", "u1")[1]) for batch in suffixdedup._ask_contexts(1)([suffixdedup._batch(rows)]) for x in batch["payload"].to_pylist())
+
+    assert asked(texts) == 0
+    assert asked([*texts, texts[3][40:100]]) > 0
+    passages = ["".join(some(rnd.randrange(25)) + rnd.choice(grams) + some(2) for _ in range(8)) for _ in range(30)]
+    texts += passages + [p[i : i + rnd.choice([49, 50, 51, 80])] for p in passages for i in (0, 9, 31)]
+    own = list(enumerate(texts))
+    want = [(i, n, gone, spans, sha) for i, n, gone, spans, sha, _ in sorted(brute_spans(own))]
+    got = suffixdedup.dedup(spark.createDataFrame(own, "doc_id bigint, text string"), keep_bytes=False)
+    assert sorted(tuple(r)[:5] for r in got.collect()) == want and any(x[2] for x in want)
+
+
+@pytest.mark.parametrize("hot", [5, suffixdedup.HOT])
+def test_suffix_dedup_in_rounds(docs, hot, monkeypatch):
+    """Requests for contexts come in rounds, each of a part of the k-grams, where they would take too much disk at once."""
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    get = lambda **kw: sorted(tuple(r) for r in suffixdedup.dedup(docs, keep_bytes=False, hot=hot, **kw).select(*columns).collect())
+    sizes, save = [], suffixdedup.common.save
+    monkeypatch.setattr(suffixdedup.common, "save", lambda df, name: sizes.append((name, save(df, name).count())) or save(df, name))
+    want = get(rounds=1)
+    assert get(rounds=3) == want and any(x[2] for x in want)
+    assert [name for name, _ in sizes] == ["shared", "least", "shared", "least", "least", "least"] and all(n for _, n in sizes)
+    shared = docs.sparkSession.createDataFrame([(0, suffixdedup.KEYS, bytes(100 << 20))], suffixdedup._ROWS)
+    assert suffixdedup._rounds(shared, 400 << 20) == 3 and suffixdedup._rounds(shared, 2 << 30) == 1
