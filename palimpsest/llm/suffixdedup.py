@@ -835,7 +835,7 @@ def dedup(docs: DataFrame, keep_bytes: bool = True, hot: int = HOT, rounds: int
     deal = lambda df: df.repartitionById(n, F.col("unit")).sortWithinPartitions("unit", "kind")
     asked = _answered(packed, None, n).mapInArrow(_ask_grams(n), _ROWS)
     shared = common.save(deal(asked).mapInArrow(_answer_grams(hot), _ROWS), "shared")
-    rounds = rounds or _rounds(shared, common.input_bytes(docs.select("doc_id", "text")))
+    rounds = rounds or _rounds(shared, common.input_bytes(docs))
     least = None
     for turn in range(rounds):
         asked = _answered(packed, shared, n).mapInArrow(_ask_contexts(n, turn, rounds), _ROWS)
